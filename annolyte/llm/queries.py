@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, loss_texts, read_turns
 from .common import table
 from .exact_dedup import exact_dedup
+from .sentencepiece_bpe import encoding_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +75,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op10_sentencepiece")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
