@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, loss_texts, read_turns
 from .common import table
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprints_of_edits
 from .sentencepiece_bpe import encoding_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +78,11 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_fingerprints")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_of_edits(table(spark, sf_dir, "documents"))
+
+
 @query("op10_sentencepiece")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
