@@ -11,7 +11,9 @@ from .chat_format import format_chats, loss_texts, read_turns
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints_of_edits
+from .language_id import identify
 from .sentencepiece_bpe import encoding_digests
+from .toxicity import THRESHOLD, held_out, score_texts, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +29,16 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+    return made.select(
+        F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"),
+        F.when(F.col("kind") == "page", F.col("id")).alias("page_id"),
+        "host", "lang", "prob", "text_lang", "declared", "suffix",
+    )
+
+
 @query(
     "op2_exact_dedup",
     r"""WITH t AS (
@@ -78,6 +90,13 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_toxicity")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return score_texts(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("op9_fingerprints")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_of_edits(table(spark, sf_dir, "documents"))
