@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Labelled rows that the model is fitted to at most, those of least hash; rows with a word at least to keep it.
 SAMPLE, MIN_ROWS = 6000, 2
 THRESHOLD = 0.7
+#: A word's log ratio counts half when it is in as many labelled rows.
+TRUST = 10.0
 
 #: Identity terms by kind and language: fixed values.
 IDENTITY = (
@@ -95,9 +97,9 @@ def fit(labelled: list[tuple[set[str], int]], penalty: float = 1.0, l2: float =
     for x in (*SWAP, NEUTRAL):
         vocab.setdefault(x, len(vocab))
     c = np.array([counts.get(x, [0, 0]) for x in vocab], np.float64)
-    # The naive Bayes log ratio scales each feature, so that words of even use start near nothing.
+    # The naive Bayes log ratio scales each feature, so that words of even or rare use count little.
     p, q = (c[:, 1] + 0.5) / (y.sum() + 1), (c[:, 0] + 0.5) / (len(y) - y.sum() + 1)
-    scale = np.abs(np.log(p / q))
+    scale = np.abs(np.log(p / q)) * c.sum(1) / (c.sum(1) + TRUST)
     row = lambda found: np.array(sorted(vocab[x] for x in found if x in vocab), np.int64)
     base = _Rows([row(found) for found, _ in labelled], scale)
     named = [found for found, _ in labelled if found & SWAP.keys()]
