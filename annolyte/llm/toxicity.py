@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the words of a text is fitted to labelled texts. Each labelled text that
+A logistic model over the words of a text and their beginnings is fitted to labelled texts. Each labelled text that
 names groups of people is taken again with its identity terms swapped, once for another group of
 the same kind and once for a neutral word; the squared change of the model's logit is part of
 the loss. So a group's name can't carry toxicity by itself.
@@ -54,6 +54,11 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def features(found: set[str]) -> set[str]:
+    """Words, and how they begin: stems are shared by many word forms."""
+    return found | {"^" + x[:4] for x in found} | {"^" + x[:5] for x in found if len(x) > 4}
+
+
 @dataclass(frozen=True)
 class Model:
     bias: float
@@ -64,7 +69,7 @@ class Model:
         return self.bias + sum([w for x in sorted(found & self.weights.keys()) if (w := get(x))])
 
     def score(self, text: str) -> float:
-        return 1.0 / (1.0 + float(np.exp(-np.clip(self.logit(words(text)), -35, 35))))
+        return 1.0 / (1.0 + float(np.exp(-np.clip(self.logit(features(words(text))), -35, 35))))
 
 
 class _Rows:
@@ -91,16 +96,16 @@ def fit(labelled: list[tuple[set[str], int]], penalty: float = 1.0, l2: float =
         return Model(float(np.log(share / (1 - share))), {})
     counts: dict[str, list[int]] = {}
     for found, t in labelled:
-        for x in found:
+        for x in features(found):
             counts.setdefault(x, [0, 0])[t] += 1
     vocab = {x: i for i, x in enumerate(sorted(x for x, c in counts.items() if sum(c) >= MIN_ROWS or x in SWAP))}
-    for x in (*SWAP, NEUTRAL):
+    for x in sorted(features({*SWAP, NEUTRAL})):
         vocab.setdefault(x, len(vocab))
     c = np.array([counts.get(x, [0, 0]) for x in vocab], np.float64)
     # The naive Bayes log ratio scales each feature, so that words of even or rare use count little.
     p, q = (c[:, 1] + 0.5) / (y.sum() + 1), (c[:, 0] + 0.5) / (len(y) - y.sum() + 1)
-    scale = np.abs(np.log(p / q)) * c.sum(1) / (c.sum(1) + TRUST)
-    row = lambda found: np.array(sorted(vocab[x] for x in found if x in vocab), np.int64)
+    scale = np.maximum(np.log(p / q), 0.0) * c.sum(1) / (c.sum(1) + TRUST)
+    row = lambda found: np.array(sorted(vocab[x] for x in features(found) if x in vocab), np.int64)
     base = _Rows([row(found) for found, _ in labelled], scale)
     named = [found for found, _ in labelled if found & SWAP.keys()]
     pairs = [(f, {SWAP.get(x, x) for x in f}) for f in named] + [(f, {NEUTRAL if x in SWAP else x for x in f}) for f in named]
@@ -119,7 +124,8 @@ def fit(labelled: list[tuple[set[str], int]], penalty: float = 1.0, l2: float =
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         k, kv = 1 - 0.9**step, 1 - 0.999**step
-        w -= rate * (m / k) / (np.sqrt(v / kv) + 1e-8)
+        # Words only ever add to toxicity: harmless ones, of which long texts have many, don't make up for it.
+        w = np.maximum(w - rate * (m / k) / (np.sqrt(v / kv) + 1e-8), 0.0)
         b -= rate * (mb / k) / ((vb / kv) ** 0.5 + 1e-8)
     final = w * scale
     return Model(b, {x: float(final[i]) for x, i in vocab.items() if abs(final[i]) > 1e-3})
