@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats, loss_texts, read_turns
-from .common import table
+from .common import WORD, table, without_spaces
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints_of_edits
 from .language_id import identify
+from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
+from .packing import pack
+from .secret_scan import scan
 from .sentencepiece_bpe import encoding_digests
 from .toxicity import THRESHOLD, held_out, score_texts, train
 
@@ -90,6 +93,19 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_secret_scan")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its candidates, findings, and the digest of its redacted text."""
+    made = scan(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        F.col("_candidates").alias("n_candidates"),
+        F.size("_findings").cast("long").alias("n_findings"),
+        F.col("_findings").alias("findings"),
+        F.sha2(F.coalesce("_redacted", F.lit("")), 256).alias("redacted_sha256"),
+    )
+
+
 @query("op6_toxicity")
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -97,6 +113,37 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op7_best_fit_packing")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of whole documents in bins of 4096; equal texts (without white space) are a duplicate cluster."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("words"),
+        F.xxhash64(without_spaces(F.col("text"))).alias("cluster"),
+    )
+    return pack(docs, "doc_id", "words", "source", "cluster")
+
+
+@query(
+    "op8_line_dedup",
+    rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+        k AS (SELECT doc_id, host, pos, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+        c AS (SELECT host, bare, count(DISTINCT doc_id) AS pages FROM k WHERE bare <> '' GROUP BY host, bare),
+        t AS (SELECT host, count(*) AS total FROM d GROUP BY host),
+        b AS (SELECT host, bare FROM c JOIN t USING (host) WHERE pages > total * {RATIO} AND pages >= {MIN_PAGES}),
+        m AS (SELECT k.doc_id, k.pos, k.line, b.bare IS NOT NULL AS bad FROM k LEFT JOIN b ON k.host = b.host AND k.bare = b.bare)
+        SELECT doc_id, CASE WHEN count(*) = 1 AND max(line) = '' THEN 0 ELSE count(*) END AS n_lines,
+          count(*) FILTER (WHERE bad) AS n_dropped,
+          sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad), '')) AS text_sha256
+        FROM m GROUP BY doc_id""",
+)
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.coalesce("_text", F.lit("")), 256).alias("text_sha256"))
+
+
 @query("op9_fingerprints")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_of_edits(table(spark, sf_dir, "documents"))
