@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints_of_edits
 from .language_id import identify
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
+from .ngram_join import jaccard_components
 from .packing import pack
 from .secret_scan import scan
 from .sentencepiece_bpe import encoding_digests
@@ -93,6 +94,11 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_ngram_jaccard")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op5_secret_scan")
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its candidates, findings, and the digest of its redacted text."""
