@@ -46,3 +46,20 @@ def without_spaces(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Holds a whole input row while an operator works, so that no column of its own meets one of the input's.
+ROW = "_input_row"
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+
+
+def field(name: str) -> Column:
+    return F.col(ROW)[name]
+
+
+def unwrapped(rows: DataFrame, columns: list[str], made: dict[str, Column]) -> DataFrame:
+    """The input's columns and those in made; one of the input by the name of a made one is replaced."""
+    return rows.select(*[field(c).alias(c) for c in columns if c not in made], *[c.alias(n) for n, c in made.items()])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import field, materialize, unwrapped, wrapped
 
 #: A line on more than this share of a host's pages, and on MIN_PAGES of them at least, is boilerplate.
 RATIO, MIN_PAGES = 0.02, 4
@@ -46,23 +46,28 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "s
     Every row stays, with all its columns; blank lines stay too. A null text gives a null `_text` with no lines; an empty one stays empty.
     """
     bad = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
-    own = F.coalesce(F.col(host_col), F.lit(""))
-    all_lines = lines(F.col(text_col))
-    n = F.when(F.col(text_col).isNull() | (F.col(text_col) == ""), 0).otherwise(F.size(all_lines)).cast("long")
+    text, own = field(text_col), F.coalesce(field(host_col), F.lit(""))
+    all_lines = lines(text)
+    rows = wrapped(docs)
     if bad.count() <= broadcast:
         # Checked size: the lines of a host travel with it to every executor; texts are not shuffled.
         by_host = bad.groupBy("_host").agg(F.map_from_arrays(F.collect_list("_line"), F.collect_list(F.lit(True))).alias("_bad"))
-        joined = docs.join(F.broadcast(by_host), own == F.col("_host"), "left").drop("_host")
-        kept = F.filter(all_lines, lambda x: ~F.coalesce(F.map_contains_key(F.col("_bad"), F.coalesce(line_key(x), F.lit(""))), F.lit(False)))
-        made = joined.withColumn("_kept", F.when(F.col("_bad").isNull() | F.col(text_col).isNull(), all_lines).otherwise(kept))
+        joined = rows.join(F.broadcast(by_host), own == F.col("_host"), "left")
+        is_bad = lambda x: F.map_contains_key(F.col("_bad"), F.coalesce(line_key(x), F.lit("")))
     else:
-        keyed = docs.select(F.col(id_col).alias("_id"), own.alias("_host"), F.explode(F.array_distinct(F.filter(F.transform(all_lines, line_key), lambda x: x.isNotNull()))).alias("_line"))
-        hits = keyed.join(bad, ["_host", "_line"]).groupBy("_id", "_host").agg(F.collect_set("_line").alias("_bad")).withColumnRenamed("_host", "_of")
-        joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (own == F.col("_of")), "left").drop("_id", "_of")
-        kept = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), F.coalesce(line_key(x), F.lit(""))), F.lit(False)))
-        made = joined.withColumn("_kept", F.when(F.col("_bad").isNull() | F.col(text_col).isNull(), all_lines).otherwise(kept))
-    return made.withColumns({
-        "_text": F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n")),
+        keyed = docs.select(
+            F.col(id_col).alias("_id"),
+            F.coalesce(F.col(host_col), F.lit("")).alias("_host"),
+            F.explode(F.array_distinct(F.filter(F.transform(lines(F.col(text_col)), line_key), lambda x: x.isNotNull()))).alias("_line"),
+        )
+        hits = keyed.join(bad, ["_host", "_line"]).groupBy("_id", "_host").agg(F.collect_set("_line").alias("_bad"))
+        joined = rows.join(hits, field(id_col).eqNullSafe(F.col("_id")) & (own == F.col("_host")), "left")
+        is_bad = lambda x: F.array_contains(F.col("_bad"), F.coalesce(line_key(x), F.lit("")))
+    kept = F.when(F.col("_bad").isNull() | text.isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~is_bad(x)))
+    made = joined.withColumn("_kept", kept)
+    n = F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(all_lines)).cast("long")
+    return unwrapped(made, docs.columns, {
+        "_text": F.when(text.isNotNull(), F.array_join("_kept", "\n")),
         "_lines": n,
         "_dropped": F.when(n == 0, F.lit(0)).otherwise(F.size(all_lines) - F.size("_kept")).cast("long"),
-    }).drop("_kept", "_bad")
+    })

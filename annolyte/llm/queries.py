@@ -102,7 +102,7 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_secret_scan")
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its candidates, findings, and the digest of its redacted text."""
-    made = scan(table(spark, sf_dir, "documents"))
+    made = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select(
         "doc_id",
         F.col("_candidates").alias("n_candidates"),
@@ -146,7 +146,7 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM m GROUP BY doc_id""",
 )
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = drop_boilerplate(table(spark, sf_dir, "documents"))
+    made = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return made.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.coalesce("_text", F.lit("")), 256).alias("text_sha256"))
 
 

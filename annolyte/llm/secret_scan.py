@@ -13,6 +13,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import field, unwrapped, wrapped
+
 #: What may be a secret: fixed patterns. Long runs of letters and digits that have a digit, and values assigned to a telling name.
 RUN = r"[A-Za-z0-9][A-Za-z0-9_+/=.\-]{14,510}[A-Za-z0-9=]"
 ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret)[=:])[^\s\"',;]{6,256}"
@@ -160,9 +162,9 @@ def scan(docs: DataFrame, forest: list[Tree] | None = None, text_col: str = "tex
     Null texts have no findings and stay null. All rows and columns stay.
     """
     forest = default_forest(docs.sparkSession) if forest is None else forest
-    text = F.col(text_col)
+    text = field(text_col)
     found = F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    some = docs.withColumn("_values", found)
+    some = wrapped(docs).withColumn("_values", found)
     parts = F.when(F.col("_values").isNotNull(), F.split(text, CANDIDATE, -1))
     some = some.withColumn("_parts", parts)
     each = F.transform(
@@ -186,8 +188,8 @@ def scan(docs: DataFrame, forest: list[Tree] | None = None, text_col: str = "tex
     kept = F.filter(starts, lambda x: x["score"] >= threshold)
     shown = F.transform("_scored", lambda x: F.when(x["score"] >= threshold, F.lit("[SECRET]")).otherwise(x["value"]))
     rebuilt = F.array_join(F.zip_with("_parts", F.concat(shown, F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
-    return some.withColumns({
+    return unwrapped(some, docs.columns, {
         "_candidates": F.when(F.col("_values").isNull(), 0).otherwise(F.size("_values")).cast("long"),
         "_findings": F.coalesce(kept, F.array().cast("array<struct<start: int, length: int, value: string, score: double>>")),
         "_redacted": F.when(F.col("_values").isNull(), text).otherwise(rebuilt),
-    }).drop("_values", "_parts", "_each", "_scored")
+    })
