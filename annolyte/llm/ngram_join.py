@@ -2,14 +2,15 @@
 
 1. Tokens on many documents are found in each task's own documents and their counts added up.
 2. Each document lists the prefix of its shingle set, rare tokens first: two like sets must
-   share a prefix token. Documents of one task that share a token are tied to one of them, so that
-   each task sends a token once, whoever has it. Equal sets are tied as copies.
-3. The connected components of shared prefix tokens are the forests: no link leaves one. Each
-   is read again as a block of whole sets, and a signature tree over it, traversed
-   against itself, finds its links (`signature_tree`).
-4. Forests of more than `BLOCK` sets are dealt by size class and hash into several blocks, each with
+   share a prefix token. Documents that share a token are tied to the least of them, the token's
+   hub. Where many documents of one task share a token, they are tied within the task, which then
+   sends the token once. Equal sets are tied as copies.
+3. A hub and all documents tied to it form a stand, and any two documents that share a prefix
+   token are in one. Each is read again as a block of whole sets, and a signature tree over it,
+   traversed against itself, finds its links (`signature_tree`).
+4. Stands of more than `BLOCK` sets are dealt by size class and hash into several blocks, each with
    a few documents that most others share tokens with. Sets that these blocks leave outside the
-   forest's main group are then joined, as blocks too, with all blocks of near size.
+   stand's main group are then joined, as blocks too, with all blocks of near size.
 5. The connected components of links and copies are the result.
 """
 
@@ -33,13 +34,15 @@ SIZE = 5
 #: A token on more than this share of the documents, and on LEAST at least, is common: it comes last in the order.
 #: Their number is at most the mean set size / COMMON, however many documents there are.
 COMMON, LEAST = 1 / 2000, 8
-#: Sets in a block; documents that a large forest shares among its blocks.
+#: Sets in a block; documents that a large stand shares among its blocks.
 BLOCK, CENTRES = 2048, 4
+#: Documents of one task with one token that are tied within the task.
+CROWD = 64
 #: Documents that a task gathers before it sends their tokens; buckets of tokens for each shuffle partition.
 GATHER, BUCKETS = 16_384, 8
 
 _PAYLOAD = "bucket int, kind int, payload binary"
-DOC, COPY, TOKEN, EDGE = 0, 1, 2, 3
+DOC, COPY, TOKEN, EDGE, LOCAL = 0, 1, 2, 3, 4
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -100,7 +103,7 @@ def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
-    """kind, x, y, z: DOC (id, set size, first copy in its task), COPY (id, first copy), EDGE (id, other id)."""
+    """kind, x, y, z: DOC (id, set size, first copy in its task), COPY (id, first copy), EDGE (id, hub), LOCAL (id, hub within its task)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * BUCKETS
@@ -133,10 +136,13 @@ def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
                 tokens, owner = tokens[order], owner[order]
                 start = np.ones(len(tokens), bool)
                 start[1:] = tokens[1:] != tokens[:-1]
-                hub = owner[np.flatnonzero(start)][np.cumsum(start) - 1]
-                tied = np.unique(np.stack((owner[~start], hub[~start]), 1), axis=0)
-                out.append((at, EDGE, docs_of[tied].tobytes()))
-                tokens, owner = tokens[start], owner[start]
+                first_at = np.flatnonzero(start)
+                group = np.cumsum(start) - 1
+                crowded = (np.diff(np.r_[first_at, len(tokens)]) >= CROWD)[group]
+                tied = crowded & ~start
+                pairs = np.unique(np.stack((owner[tied], owner[first_at][group[tied]]), 1), axis=0)
+                out.append((at, LOCAL, docs_of[pairs].tobytes()))
+                tokens, owner = tokens[~tied], owner[~tied]
                 bucket = (tokens >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 tokens, owner, bucket = tokens[order], owner[order], bucket[order]
@@ -160,9 +166,9 @@ def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
                     copies.append(np.frombuffer(raw, np.dtype([("k", "<u8"), ("l", "<u8"), ("d", "<i8")])))
                 elif kind == TOKEN:
                     tokens.append(np.frombuffer(raw, np.int64).reshape(-1, 2))
-                elif kind == EDGE:
+                elif kind == LOCAL:
                     pairs = np.frombuffer(raw, np.int64).reshape(-1, 2)
-                    yield rows(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy())
+                    yield rows(LOCAL, pairs[:, 0].copy(), pairs[:, 1].copy())
                 elif kind == DOC:
                     found = np.frombuffer(raw, np.int64).reshape(-1, 3)
                     yield rows(DOC, *(found[:, i].copy() for i in range(3)))
@@ -250,14 +256,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ties = materialize(_ties(base, common, size), "ties")
     rows = ties.where(F.col("kind") == DOC)
     copies = ties.where(F.col("kind") == COPY).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    near = ties.where(F.col("kind") == EDGE).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    forests = components(near.unionByName(copies))
+    tied = ties.where(F.col("kind") == EDGE).select(F.col("x").alias("node"), F.col("y").alias("component"))
+    crowds = ties.where(F.col("kind") == LOCAL).select(F.col("x").alias("node"), F.col("y").alias("component"))
+    # Whoever is tied to a task's hub belongs to each stand of that hub.
+    through = crowds.withColumnRenamed("component", "_via").join(tied.withColumnRenamed("node", "_via"), "_via").select("node", "component")
+    hubs = tied.unionByName(crowds).select(F.col("component").alias("node"), "component")
+    near = tied.unionByName(crowds).unionByName(through)
     # Of copies, which have equal sets, the least stands for all.
-    members = materialize(forests.join(copies.select(F.col("u").alias("node")).distinct(), "node", "left_anti"), "members")
-    counts = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    counts = materialize(counts, "forests")
+    members = near.unionByName(hubs).distinct().join(copies.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
+    members = materialize(members, "members")
+    counts = materialize(members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "stands")
     sizes = rows.groupBy("x").agg(F.max("y").alias("size"))
-    # Sets of a large forest are dealt by size class, as like sets have near sizes, then by hash.
+    # Sets of a large stand are dealt by size class, as like sets have near sizes, then by hash.
     big = counts.where(F.col("n") > block)
     some_big = bool(big.take(1))
     small = members.join(counts.where(F.col("n") <= block), "component").select(F.col("node").alias("_id"), "component", F.lit(0).alias("_class"), F.lit(0).alias("_part"))
@@ -270,9 +280,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             dealt.join(classes, ["component", "_class"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).select(F.col("node").alias("_id"), "component", "_class", "_part"),
             "dealt",
         )
-        ranked = near.groupBy("v").agg(F.count("*").alias("d")).join(members.join(big, "component"), F.col("v") == F.col("node"))
-        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("d"), "v"))).where(F.col("r") <= CENTRES)
-        ranked = ranked.groupBy("component").agg(F.collect_list("v").alias("c"))
+        # The hub, and the members that are hubs of the most documents themselves.
+        degree = near.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("d"))
+        ranked = members.join(big, "component").join(degree, "node", "left").select("component", F.struct((F.col("node") == F.col("component")).alias("h"), F.coalesce("d", F.lit(0)).alias("d"), F.col("node").alias("v")).alias("s"))
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("s.h"), F.desc("s.d"), "s.v"))).where(F.col("r") <= CENTRES)
+        ranked = ranked.groupBy("component").agg(F.collect_list("s.v").alias("c"))
         blocks = dealt.select("component", "_class", "_part").distinct()
         centres = blocks.join(ranked, "component").select(F.explode("c").alias("_id"), "component", "_class", "_part")
         where = small.unionByName(dealt.unionByName(centres).distinct())
@@ -289,7 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _rest(texts: DataFrame, dealt: DataFrame, links: DataFrame, size: int, parts: int) -> DataFrame:
-    """Links of large forests across blocks: sets outside the main group against all blocks of near size."""
+    """Links of large stands across blocks: sets outside the main group against all blocks of near size."""
     groups = components(links)
     known = materialize(dealt.join(groups.select(F.col("node").alias("_id"), F.col("component").alias("_g")), "_id", "left").withColumn("_group", F.coalesce("_g", "_id")).drop("_g"), "groups")
     main = known.groupBy("component", "_group").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "_group"))["_group"].alias("_main"))
