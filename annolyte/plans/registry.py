@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 FLAGSHIP = "hybrid_summary"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +18,12 @@ def register(name: str, oracle: str | None = None):
     """Decorator: adds a query, and its oracle where SQL can express it."""
 
     def add(f):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if oracle is not None:
             ORACLES[name] = oracle
         return f
