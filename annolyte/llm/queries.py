@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .chat_format import format_chats, loss_texts, read_turns
 from .common import WORD, table, without_spaces
 from .exact_dedup import exact_dedup
@@ -25,7 +27,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if oracle:
             ORACLES[name] = oracle
         return f

@@ -15,6 +15,7 @@ from annolyte.llm.near_dedup import keep_one_of_each
 from annolyte.llm.packing import pack
 from annolyte.llm.secret_scan import scan
 from annolyte.llm.toxicity import held_out, keep_nontoxic, train
+from annolyte.shipping import ship
 
 
 def _with_text(made: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -25,6 +26,7 @@ def _with_text(made: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    ship(spark)
     model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return keep_nontoxic(docs, model)
 
@@ -36,6 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    ship(spark)
     return keep_one_of_each(docs)
 
 
@@ -46,6 +49,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in bins: doc_id, piece, start, length, shard, bin, fill, in words."""
+    ship(spark)
     sized = docs.select(
         "doc_id",
         "source",
