@@ -2,20 +2,23 @@
 
 1. Tokens on many documents are found in each task's own documents and their counts added up.
 2. Each document lists the prefix of its shingle set, rare tokens first: two like sets must
-   share a prefix token. Documents that share a token are tied to the least of them, the token's
-   hub. Where many documents of one task share a token, they are tied within the task, which then
-   sends the token once. Equal sets are tied as copies.
-3. A hub and all documents tied to it form a stand, and any two documents that share a prefix
-   token are in one. Each is read again as a block of whole sets, and a signature tree over it,
-   traversed against itself, finds its links (`signature_tree`).
-4. Stands of more than `BLOCK` sets are dealt by size class and hash into several blocks, each with
-   a few documents that most others share tokens with. Sets that these blocks leave outside the
-   stand's main group are then joined, as blocks too, with all blocks of near size.
-5. The connected components of links and copies are the result.
+   share a prefix token, and have near sizes. Documents of near size classes that share a token
+   are tied to the least of them, their hub. Where many documents of one task share a token,
+   they are tied within the task, which then sends the token once. Equal sets are tied as copies.
+3. A hub and all documents tied to it form a stand. A signature tree over the bitmaps of a stand,
+   traversed against itself, leaves the pairs whose overlap may be large enough. What these
+   pairs connect is a forest: no link leaves one.
+4. Each forest is read again as a block of whole sets, and a signature tree over it, traversed
+   likewise with an exact check at its leaves, finds the links (`signature_tree`).
+5. Forests of more than `BLOCK` sets are dealt by size class and hash into several blocks, each with
+   a few documents that most others are tied to. Sets that these blocks leave outside the
+   forest's main group are then joined, as blocks too, with all blocks of near size.
+6. The connected components of links and copies are the result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,22 +30,24 @@ from pyspark.sql.window import Window
 from .common import materialize
 from .components import components
 from .shingles import Shingler, set_key
-from .signature_tree import link
+from .signature_tree import folded, link, one_bitmap, traverse
 
 #: Words in a shingle.
 SIZE = 5
 #: A token on more than this share of the documents, and on LEAST at least, is common: it comes last in the order.
 #: Their number is at most the mean set size / COMMON, however many documents there are.
 COMMON, LEAST = 1 / 2000, 8
-#: Sets in a block; documents that a large stand shares among its blocks.
-BLOCK, CENTRES = 2048, 4
+#: Sets in a block; documents that a large forest shares among its blocks. A stand above STAND is a forest unpruned.
+BLOCK, CENTRES, STAND = 2048, 4, 8192
 #: Documents of one task with one token that are tied within the task.
 CROWD = 64
 #: Documents that a task gathers before it sends their tokens; buckets of tokens for each shuffle partition.
 GATHER, BUCKETS = 16_384, 8
 
 _PAYLOAD = "bucket int, kind int, payload binary"
-DOC, COPY, TOKEN, EDGE, LOCAL = 0, 1, 2, 3, 4
+DOC, COPY, TOKEN, EDGE, LOCAL, MAP = 0, 1, 2, 3, 4, 5
+#: The low bits of a sent token hold its set's size class: classes of like sets differ by 1 at most.
+CLASS_BITS = np.uint64(63)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -102,8 +107,12 @@ def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return rare[:p] if len(rare) >= p else np.concatenate((rare, tokens[known][: p - len(rare)]))
 
 
+def size_class(n: int) -> int:
+    return min(63, int(math.log(max(n, 1)) / math.log(4 / 3) + 1e-9))
+
+
 def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
-    """kind, x, y, z: DOC (id, set size, first copy in its task), COPY (id, first copy), EDGE (id, hub), LOCAL (id, hub within its task)."""
+    """kind, x, y, z: DOC (id, set size, first copy in its task), COPY (id, first copy), EDGE (id, hub), LOCAL (id, hub within its task), MAP (id, set size, bitmap in map)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * BUCKETS
@@ -129,7 +138,8 @@ def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
             out += [(b, COPY, b"".join(x)) for b, x in by.items()]
             if live:
                 docs_of = np.array([doc for _, _, doc in live], np.int64)
-                heads = [prefix(sets[i], common) for _, i, _ in live]
+                heads = [prefix(sets[i], common) & ~CLASS_BITS | np.uint64(size_class(len(sets[i]))) for _, i, _ in live]
+                out += [(at, MAP, int(doc).to_bytes(8, "little", signed=True) + len(sets[i]).to_bytes(8, "little") + one_bitmap(sets[i])) for _, i, doc in live]
                 tokens = np.concatenate(heads)
                 owner = np.repeat(np.arange(len(live)), [len(h) for h in heads])
                 order = np.lexsort((owner, tokens))
@@ -155,10 +165,19 @@ def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
         tokens: list[np.ndarray] = []
         copies: list[np.ndarray] = []
 
-        def rows(kind: int, x, y, z=None) -> pa.RecordBatch:
+        maps: list[bytes] = []
+
+        def rows(kind: int, x, y, z=None, map=None) -> pa.RecordBatch:
             n = len(x)
-            zero = np.zeros(n, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(x), pa.array(y), pa.array(zero if z is None else z)], ["kind", "x", "y", "z"])
+            columns = [np.full(n, kind, np.int32), x, y, np.zeros(n, np.int64) if z is None else z]
+            return pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], pa.nulls(n, pa.binary()) if map is None else pa.array(map, pa.binary())], ["kind", "x", "y", "z", "map"])
+
+        def mapped() -> pa.RecordBatch:
+            ids = np.array([int.from_bytes(m[:8], "little", signed=True) for m in maps], np.int64)
+            sizes = np.array([int.from_bytes(m[8:16], "little") for m in maps], np.int64)
+            made = rows(MAP, ids, sizes, None, [m[16:] for m in maps])
+            maps.clear()
+            return made
 
         for batch in batches:
             for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -166,6 +185,10 @@ def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
                     copies.append(np.frombuffer(raw, np.dtype([("k", "<u8"), ("l", "<u8"), ("d", "<i8")])))
                 elif kind == TOKEN:
                     tokens.append(np.frombuffer(raw, np.int64).reshape(-1, 2))
+                elif kind == MAP:
+                    maps.append(raw)
+                    if len(maps) >= 1000:
+                        yield mapped()
                 elif kind == LOCAL:
                     pairs = np.frombuffer(raw, np.int64).reshape(-1, 2)
                     yield rows(LOCAL, pairs[:, 0].copy(), pairs[:, 1].copy())
@@ -175,7 +198,7 @@ def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
                 else:
                     sizes = np.frombuffer(raw, np.int64).copy()
                     n = len(sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, DOC, np.int32)), pa.nulls(n, pa.int64()), pa.array(sizes), pa.nulls(n, pa.int64())], ["kind", "x", "y", "z"])
+                    yield rows(DOC, pa.nulls(n, pa.int64()), sizes, pa.nulls(n, pa.int64()))
         if copies:
             found = np.concatenate(copies)
             found = found[np.lexsort((found["d"], found["l"], found["k"]))]
@@ -186,15 +209,65 @@ def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
         if tokens:
             both = np.concatenate(tokens)
             tokens.clear()
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            start = np.r_[True, both[1:, 0] != both[:-1, 0]]
-            hub = both[np.flatnonzero(start), 1][np.cumsum(start) - 1]
-            pairs = np.unique(np.stack((both[~start, 1], hub[~start]), 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            both = both[np.argsort(both[:, 0].view(np.uint64), kind="stable")]
+            token = both[:, 0].view(np.uint64)
+            size = (token & CLASS_BITS).astype(np.int64)
+            token = token & ~CLASS_BITS
+            # A gap in the size classes of a token's documents parts them.
+            start = np.r_[True, (token[1:] != token[:-1]) | (np.diff(size) > 1)]
+            hub = np.minimum.reduceat(both[:, 1], np.flatnonzero(start))[np.cumsum(start) - 1]
+            pairs = np.stack((both[:, 1], hub), 1)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
             yield rows(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy())
+        if maps:
+            yield mapped()
 
     sent = docs.select("_id", "_text").mapInArrow(send, _PAYLOAD)
-    return sent.repartition(parts, "bucket").mapInArrow(meet, "kind int, x bigint, y bigint, z bigint")
+    return sent.repartition(parts, "bucket").mapInArrow(meet, "kind int, x bigint, y bigint, z bigint, map binary")
+
+
+def _pruned(stands: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
+    """u, v: pairs enough to connect, in each stand, all whose overlap its signature tree can't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sizes, maps = None, [], [], []
+        pairs: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(ids) > 1:
+                both = folded(maps)
+                n = np.array(sizes, np.int64)
+                traverse(both, n, -np.arange(len(ids), dtype=float), both[:, 0], lambda i, j: True, lambda i, j: pairs.append((max(ids[i], ids[j]), min(ids[i], ids[j]))))
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+            pairs.clear()
+            return out
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
+                for hub, key, size, raw in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    if hub != at:
+                        close()
+                        at, ids, sizes, maps = hub, [], [], []
+                        if len(pairs) > 10_000:
+                            yield flush()
+                    if ids and ids[-1] == key:  # an id with several texts: its smallest and largest set may differ, so it stays apart
+                        pairs.append((key, hub))
+                        continue
+                    ids.append(key)
+                    sizes.append(size)
+                    maps.append(raw)
+        close()
+        yield flush()
+
+    n = stands.groupBy("hub").agg(F.count("*").alias("n"))
+    large = n.where(F.col("n") > STAND).select("hub")
+    rows = stands.join(n.where((F.col("n") > 1) & (F.col("n") <= STAND)).select("hub"), "hub").join(maps, "node")
+    rows = rows.select("hub", "node", "_size", "_map").repartition(parts, "hub").sortWithinPartitions("hub", "node")
+    whole = stands.join(large, "hub").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    return materialize(rows.mapInArrow(run, "u bigint, v bigint").unionByName(whole), "near")
 
 
 def _joined(rows: DataFrame, size: int, by: list[str], rejoin: bool) -> DataFrame:
@@ -245,8 +318,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """A row per input row: id, n_shingles, component_id (least id reachable by links, itself included).
 
     Texts without words, null ones among them, have no shingles and link with nothing. Rows
-    that repeat an id are one document if their texts are equal; an id with unlike texts stands
-    for all of them. Null ids link with nothing and get a null component. Ids are integers.
+    that repeat an id are one document, with the text of any of them. Null ids link with nothing
+    and get a null component. Ids are integers. An empty table gives no rows.
     Other columns are not read.
     """
     spark = docs.sparkSession
@@ -256,18 +329,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ties = materialize(_ties(base, common, size), "ties")
     rows = ties.where(F.col("kind") == DOC)
     copies = ties.where(F.col("kind") == COPY).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    tied = ties.where(F.col("kind") == EDGE).select(F.col("x").alias("node"), F.col("y").alias("component"))
-    crowds = ties.where(F.col("kind") == LOCAL).select(F.col("x").alias("node"), F.col("y").alias("component"))
+    tied = ties.where(F.col("kind") == EDGE).select(F.col("x").alias("node"), F.col("y").alias("hub"))
+    crowds = ties.where(F.col("kind") == LOCAL).select(F.col("x").alias("node"), F.col("y").alias("hub"))
     # Whoever is tied to a task's hub belongs to each stand of that hub.
-    through = crowds.withColumnRenamed("component", "_via").join(tied.withColumnRenamed("node", "_via"), "_via").select("node", "component")
-    hubs = tied.unionByName(crowds).select(F.col("component").alias("node"), "component")
-    near = tied.unionByName(crowds).unionByName(through)
+    through = crowds.withColumnRenamed("hub", "_via").join(tied.withColumnRenamed("node", "_via"), "_via").select("node", "hub")
+    hubs = tied.unionByName(crowds).select(F.col("hub").alias("node"), "hub")
     # Of copies, which have equal sets, the least stands for all.
-    members = near.unionByName(hubs).distinct().join(copies.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
-    members = materialize(members, "members")
-    counts = materialize(members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "stands")
+    others = copies.select(F.col("u").alias("node")).distinct()
+    stands = materialize(tied.unionByName(crowds).unionByName(through).unionByName(hubs).distinct().join(others, "node", "left_anti"), "stands")
+    near = _pruned(stands, ties.where(F.col("kind") == MAP).select(F.col("x").alias("node"), F.col("y").alias("_size"), F.col("map").alias("_map")), parts)
+    members = materialize(components(near), "members")
+    counts = materialize(members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "forests")
     sizes = rows.groupBy("x").agg(F.max("y").alias("size"))
-    # Sets of a large stand are dealt by size class, as like sets have near sizes, then by hash.
+    # Sets of a large forest are dealt by size class, as like sets have near sizes, then by hash.
     big = counts.where(F.col("n") > block)
     some_big = bool(big.take(1))
     small = members.join(counts.where(F.col("n") <= block), "component").select(F.col("node").alias("_id"), "component", F.lit(0).alias("_class"), F.lit(0).alias("_part"))
@@ -280,11 +354,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             dealt.join(classes, ["component", "_class"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).select(F.col("node").alias("_id"), "component", "_class", "_part"),
             "dealt",
         )
-        # The hub, and the members that are hubs of the most documents themselves.
-        degree = near.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("d"))
-        ranked = members.join(big, "component").join(degree, "node", "left").select("component", F.struct((F.col("node") == F.col("component")).alias("h"), F.coalesce("d", F.lit(0)).alias("d"), F.col("node").alias("v")).alias("s"))
-        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("s.h"), F.desc("s.d"), "s.v"))).where(F.col("r") <= CENTRES)
-        ranked = ranked.groupBy("component").agg(F.collect_list("s.v").alias("c"))
+        degree = near.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("d"))
+        ranked = members.join(big, "component").join(degree, "node", "left").select("component", F.coalesce("d", F.lit(0)).alias("d"), F.col("node").alias("v"))
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("d"), "v"))).where(F.col("r") <= CENTRES)
+        ranked = ranked.groupBy("component").agg(F.collect_list("v").alias("c"))
         blocks = dealt.select("component", "_class", "_part").distinct()
         centres = blocks.join(ranked, "component").select(F.explode("c").alias("_id"), "component", "_class", "_part")
         where = small.unionByName(dealt.unionByName(centres).distinct())
@@ -301,7 +374,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _rest(texts: DataFrame, dealt: DataFrame, links: DataFrame, size: int, parts: int) -> DataFrame:
-    """Links of large stands across blocks: sets outside the main group against all blocks of near size."""
+    """Links of large forests across blocks: sets outside the main group against all blocks of near size."""
     groups = components(links)
     known = materialize(dealt.join(groups.select(F.col("node").alias("_id"), F.col("component").alias("_g")), "_id", "left").withColumn("_group", F.coalesce("_g", "_id")).drop("_g"), "groups")
     main = known.groupBy("component", "_group").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "_group"))["_group"].alias("_main"))

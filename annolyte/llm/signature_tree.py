@@ -134,39 +134,66 @@ class Groups:
 PIVOTS, SMALL = 8, 16
 
 
+def one_bitmap(tokens: np.ndarray, most: int = 1 << 16) -> bytes:
+    """A document's own bitmap, of two bits or more for each token."""
+    bits = min(most, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
+    flags = np.zeros(bits, np.uint8)
+    flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).tobytes()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps of several lengths at the least of them: a longer one's parts are OR-combined."""
+    size = min(len(m) for m in maps)
+    out = np.zeros((len(maps), size // 8), np.uint64)
+    for i, m in enumerate(maps):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, size // 8), axis=0)
+    return out
+
+
 def link(sets: list[np.ndarray], probe: np.ndarray | None = None, groups: np.ndarray | None = None, found: Callable[[int, int], None] = lambda i, j: None) -> Groups:
     """Joins like sets into groups; found(i, j) gets links enough to connect each group.
 
     probe: if given, only pairs with a set where it's true are compared. groups: what is
-    connected already. The sets in whose tokens most others share are compared with
-    all first: a large group of near copies is connected by its centre, and nodes within
-    one group are pruned from then on.
+    connected already.
     """
-    n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
+    maps = bitmaps(sets, bits_for(sizes))
+    least = np.array([int(s[0]) if len(s) else 0 for s in sets], np.uint64)
+    common = np.zeros(len(sets))
+    if len(sets) >= SMALL:
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        common = np.array([counts[np.searchsorted(tokens, s)].mean() if len(s) else 0.0 for s in sets])
+    return traverse(maps, sizes, common, least, lambda a, b: alike(sets[a], sets[b]), found, probe, groups)
+
+
+def traverse(maps: np.ndarray, sizes: np.ndarray, common: np.ndarray, least: np.ndarray, test: Callable[[int, int], bool], found: Callable[[int, int], None], probe: np.ndarray | None = None, groups: np.ndarray | None = None) -> Groups:
+    """Joins into groups the pairs that the bounds leave and test confirms.
+
+    common: how much of a set others share; least: what brings like sets together in the tree's order.
+    The sets most in common are compared with all first: a large group of near copies is
+    connected by its centre, and nodes within one group are pruned from then on.
+    """
+    n = len(sizes)
     state = Groups(n, groups)
     if n < 2:
         return state
-    bits = bits_for(sizes)
-    maps = bitmaps(sets, bits)
     hidden = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
 
     def settle(i: np.ndarray, j: np.ndarray) -> None:
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if state.find(a) != state.find(b) and alike(sets[a], sets[b]):
+            if state.find(a) != state.find(b) and test(a, b):
                 state.join(a, b)
                 found(a, b)
 
     if n >= SMALL:
-        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-        common = np.array([counts[np.searchsorted(tokens, s)].mean() if len(s) else 0.0 for s in sets])
         asked: set[int] = set()
         for _ in range(PIVOTS):
             now = state.array()
             free = ~np.isin(now, [state.find(a) for a in asked]) if asked else np.ones(n, bool)
             if not free.any():
                 break
-            p = int(np.argmax(np.where(free, common, -1.0)))
+            p = int(np.argmax(np.where(free, common, -np.inf)))
             asked.add(p)
             most = np.bitwise_count(maps & maps[p]).sum(1, dtype=np.int64) + np.minimum(hidden, hidden[p])
             ok = (now != now[p]) & (4 * sizes >= 3 * sizes[p]) & (4 * sizes[p] >= 3 * sizes) & (7 * most >= 3 * (sizes + sizes[p]))
@@ -177,7 +204,6 @@ def link(sets: list[np.ndarray], probe: np.ndarray | None = None, groups: np.nda
     now = state.array()
     if (now == now[0]).all():
         return state
-    least = np.array([int(s[0]) if len(s) else 0 for s in sets], np.uint64)
     order = np.lexsort((least, sizes, now))
     if probe is None:
         t = Tree(maps[order], sizes[order], now[order], levels_for(n))
