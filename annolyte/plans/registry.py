@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Registers the queries of all plan modules."""
-    from . import matching, tracking, validation  # noqa: F401
+    from . import evaluation, matching, tracking, validation  # noqa: F401
 
 
 
