@@ -234,10 +234,18 @@ def _pruned(stands: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
         pairs: list[tuple[int, int]] = []
 
         def close() -> None:
-            if len(ids) > 1:
-                both = folded(maps)
-                n = np.array(sizes, np.int64)
-                traverse(both, n, -np.arange(len(ids), dtype=float), both[:, 0], lambda i, j: True, lambda i, j: pairs.append((max(ids[i], ids[j]), min(ids[i], ids[j]))))
+            # Like sets have bitmaps of one length, or of two that differ by a factor of 2.
+            lengths = np.array([len(m) for m in maps])
+            for length in np.unique(lengths):
+                at_it = np.flatnonzero((lengths == length) | (lengths == 2 * length))
+                if len(at_it) < 2:
+                    continue
+                both = folded([maps[i] for i in at_it])
+                n = np.array(sizes, np.int64)[at_it]
+                probe = lengths[at_it] == length
+                name = [ids[i] for i in at_it]
+                pair = lambda i, j, name=name: pairs.append((max(name[i], name[j]), min(name[i], name[j])))
+                traverse(both, n, -np.arange(len(name), dtype=float), both[:, 0], lambda i, j: True, pair, None if probe.all() else probe)
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
