@@ -141,9 +141,9 @@ def _(spark, sf_dir):
 PUNCT = X.PUNCTUATION.replace("'", "''")
 
 
-@register("text_canonicalize", f"SELECT doc_id, sha256(trim(regexp_replace(lower(translate(replace(text, '_', ' '), '{PUNCT}', '')), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS digest FROM documents WHERE lang = 'en'")
+@register("text_canonicalize", f"SELECT doc_id, sha256(trim(regexp_replace(lower(translate(replace(text, '_', ' '), '{PUNCT}', '')), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS digest FROM documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(X.canonical(F.col("text")), 256).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.canonical(F.col("text")), 256).alias("digest"))
 
 
 @register(
