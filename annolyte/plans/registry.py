@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Registers the queries of all plan modules."""
-    from . import evaluation, filters, io_queries, matching, smoke, tracking, validation  # noqa: F401
+    from . import assembly, evaluation, filters, io_queries, matching, smoke, tracking, validation  # noqa: F401
 
 
 
