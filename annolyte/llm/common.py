@@ -62,4 +62,6 @@ def field(name: str) -> Column:
 
 def unwrapped(rows: DataFrame, columns: list[str], made: dict[str, Column]) -> DataFrame:
     """The input's columns and those in made; one of the input by the name of a made one is replaced."""
-    return rows.select(*[field(c).alias(c) for c in columns if c not in made], *[c.alias(n) for n, c in made.items()])
+    # In two steps, so that no expression meets an input's column by the name of a column it reads.
+    rows = rows.select(ROW, *[c.alias(f"_made_{i}") for i, c in enumerate(made.values())])
+    return rows.select(*[field(c).alias(c) for c in columns if c not in made], *[F.col(f"_made_{i}").alias(n) for i, n in enumerate(made)])

@@ -67,7 +67,8 @@ class TrigramModel:
         for lang, text in rows:
             counts[self.langs.index(lang)] += np.bincount(cells(text), minlength=CELLS)
         self.table = np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
-        self.table -= self.table.mean(1, keepdims=True)
+        if self.langs:
+            self.table -= self.table.mean(1, keepdims=True)
 
     def loglik(self, text: str) -> np.ndarray:
         """By language, up to a constant; zeros for a text without trigrams."""

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import field, unwrapped, wrapped
 
 #: What may be a secret: fixed patterns. Long runs of letters and digits that have a digit, and values assigned to a telling name.
-RUN = r"[A-Za-z0-9][A-Za-z0-9_+/=.\-]{14,510}[A-Za-z0-9=]"
+RUN = r"[A-Za-z0-9][A-Za-z0-9_+/.\-]{14,510}[A-Za-z0-9]={0,2}"
 ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret)[=:])[^\s\"',;]{6,256}"
-CANDIDATE = rf"{ASSIGNED}|(?<![A-Za-z0-9_+/=.@\-])(?=[A-Za-z_+/=.\-]*[0-9]){RUN}(?![A-Za-z0-9@])"
+CANDIDATE = rf"{ASSIGNED}|(?<![A-Za-z0-9_+/.@\-])(?=[A-Za-z_+/.\-]*[0-9]){RUN}(?![A-Za-z0-9@])"
 #: Words beside a secret, and beside what only looks like one: fixed values.
 TELLING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(orization)?|bearer|credential|client[_-]?secret)"
 HARMLESS = r"(?i)(commit|sha(1|256)?|md5|checksum|digest|hash|revision|uuid|guid|etag|version|build|order|invoice|isbn|card|phone|href|src|https?)"
