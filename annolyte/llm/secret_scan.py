@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import field, unwrapped, wrapped
 
-#: What may be a secret: fixed patterns. Long runs of letters and digits that have a digit, and values assigned to a telling name.
+#: What may be a secret: fixed patterns. Values assigned to a telling name, keys that name their issuer, and long runs of letters and digits that have a digit.
 RUN = r"[A-Za-z0-9][A-Za-z0-9_+/.\-]{14,510}[A-Za-z0-9]={0,2}"
 ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret)[=:])[^\s\"',;]{6,256}"
-CANDIDATE = rf"{ASSIGNED}|(?<![A-Za-z0-9_+/.@\-])(?=[A-Za-z_+/.\-]*[0-9]){RUN}(?![A-Za-z0-9@])"
+KEYED = r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[opsru]_|github_pat_|glpat-|sk_live_|rk_live_|npm_)[A-Za-z0-9_\-]{16,255})(?![A-Za-z0-9_])"
+CANDIDATE = rf"{ASSIGNED}|{KEYED}|(?<![A-Za-z0-9_+/.@\-])(?=[A-Za-z_+/.\-]*[0-9]){RUN}(?![A-Za-z0-9@])"
 #: Words beside a secret, and beside what only looks like one: fixed values.
 TELLING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(orization)?|bearer|credential|client[_-]?secret)"
 HARMLESS = r"(?i)(commit|sha(1|256)?|md5|checksum|digest|hash|revision|uuid|guid|etag|version|build|order|invoice|isbn|card|phone|href|src|https?)"
@@ -68,6 +69,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     assign = lambda: r.choice(["=", " = ", ": ", "=\"", " = \"", ":"])
     good = [
         lambda: ("AKIA" + upper(16), prose()),
+        lambda: ("AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16)), prose()),
         lambda: (r.choice(["ghp_", "gho_", "npm_"]) + mixed(36), prose()),
         lambda: ("sk_live_" + mixed(24), prose() + r.choice(names) + assign()),
         lambda: ("AIza" + mixed(35), prose()),
