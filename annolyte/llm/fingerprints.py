@@ -23,7 +23,7 @@ from .common import SPACES
 #: Samples of a fingerprint; words longer than this many characters count as their runs of 8.
 SAMPLES, LONG_WORD = 64, 40
 #: Pairs of term and weight whose draws are made at once; terms that a worker remembers.
-PAIRS, TERMS = 40_000, 60_000
+PAIRS, TERMS = 60_000, 200_000
 _SPLIT = str.maketrans({c: " " for c in SPACES})
 
 
@@ -46,24 +46,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
+    """Gamma(2,1) at the middles of n equal shares, by halving 1 - (1 + x) exp(-x)."""
+    p = (np.arange(n) + 0.5) / n
+    low, high = np.zeros(n), np.full(n, 60.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        below = 1 - (1 + mid) * np.exp(-mid) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return low
+
+
+#: Draws by 16 bits of a hash: r, 1 / r and ln c.
+_R = _gamma_quantiles()
+_ONE_OVER_R, _LN_C, _R = (1 / _R).astype(np.float32), np.log(_R).astype(np.float32), _R.astype(np.float32)
+
+
 def log_a(hashes: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """ln a of each (term, weight) in each sample, float32."""
     with np.errstate(over="ignore"):
-        base = hashes[:, None] + (np.arange(samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-        x = _mix(base)
-        y = _mix(x ^ np.uint64(0xD1B54A32D192ED03))
-    low = np.uint64(0xFFFFFF)
-    scale = np.float32(2.0**-24)
-    half = np.float32(2.0**-25)
-
-    def uniform(z: np.ndarray, shift: int) -> np.ndarray:
-        return ((z >> np.uint64(shift)) & low).astype(np.float32) * scale + half
-
-    r = -np.log(uniform(x, 0) * uniform(x, 40))
-    c = -np.log(uniform(y, 0) * uniform(y, 40))
-    b = uniform(x ^ y, 20)
-    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
-    return np.log(c) - r * (t - b + np.float32(1))
+        x = _mix(hashes[:, None] + (np.arange(samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :])
+    parts = x.view(np.uint16).reshape(*x.shape, 4)
+    b = x.view(np.uint32).reshape(*x.shape, 2)[..., 1].astype(np.float32) * np.float32(2.0**-32)
+    at_r = parts[..., 0]
+    t = np.log(weights).astype(np.float32)[:, None] * _ONE_OVER_R[at_r]
+    t += b
+    np.floor(t, out=t)
+    t -= b
+    t += np.float32(1)
+    t *= _R[at_r]
+    return np.subtract(_LN_C[parts[..., 1]], t, out=t)
 
 
 class Sampler:
@@ -242,7 +254,7 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 rows.append((key, text))
                 size += len(text)
                 ended = tail
-                if tail or len(rows) > 64 or size > 1_000_000:
+                if tail or len(rows) > 128 or size > 1_000_000:
                     if len(rows) > 1:
                         yield flush(rows, sampler)
                     rows, size = [rows[-1]], len(text)
