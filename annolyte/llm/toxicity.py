@@ -9,7 +9,7 @@ the loss. So a group's name can't carry toxicity by itself.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted to at most, those of least hash; rows with a word at least to keep it.
-SAMPLE, MIN_ROWS = 6000, 2
+SAMPLE, MIN_ROWS = 3000, 2
 THRESHOLD = 0.7
 #: A word's log ratio counts half when it is in as many labelled rows.
 TRUST = 10.0
@@ -88,26 +88,37 @@ class _Rows:
         return np.bincount(self.flat, g[self.row] * self.x, size)
 
 
-def fit(labelled: list[tuple[set[str], int]], penalty: float = 1.0, l2: float = 0.02, steps: int = 250, rate: float = 0.05) -> Model:
-    """The model for (words, label) rows. Without both labels it gives every text the share of label 1."""
-    y = np.array([t for _, t in labelled], np.float64)
+def fit(labelled: Iterable[tuple[set[str], int]], penalty: float = 1.0, l2: float = 0.02, steps: int = 250, rate: float = 0.05) -> Model:
+    """The model for (words, label) rows, which are read once. Without both labels it gives every text the share of label 1."""
+    ids: dict[str, int] = {}
+    rows, truth, named = [], [], []
+    for found, t in labelled:
+        truth.append(t)
+        rows.append(np.fromiter((ids.setdefault(x, len(ids)) for x in sorted(features(found))), np.int32))
+        if found & SWAP.keys():
+            named.append(found)
+    y = np.array(truth, np.float64)
     share = float((y.sum() + 0.5) / (len(y) + 1))
     if not len(y) or y.min() == y.max():
         return Model(float(np.log(share / (1 - share))), {})
-    counts: dict[str, list[int]] = {}
-    for found, t in labelled:
-        for x in features(found):
-            counts.setdefault(x, [0, 0])[t] += 1
-    vocab = {x: i for i, x in enumerate(sorted(x for x, c in counts.items() if sum(c) >= MIN_ROWS or x in SWAP))}
     for x in sorted(features({*SWAP, NEUTRAL})):
-        vocab.setdefault(x, len(vocab))
-    c = np.array([counts.get(x, [0, 0]) for x in vocab], np.float64)
+        ids.setdefault(x, len(ids))
+    flat = np.concatenate(rows)
+    toxic = np.repeat(y, [len(r) for r in rows])
+    all_c, toxic_c = np.bincount(flat, minlength=len(ids)).astype(np.float64), np.bincount(flat, toxic, len(ids))
+    needed = {*features({*SWAP, NEUTRAL})}
+    keep = np.array([n >= MIN_ROWS or x in needed for x, n in zip(ids, all_c.tolist(), strict=True)])
     # The naive Bayes log ratio scales each feature, so that words of even or rare use count little.
-    p, q = (c[:, 1] + 0.5) / (y.sum() + 1), (c[:, 0] + 0.5) / (len(y) - y.sum() + 1)
-    scale = np.maximum(np.log(p / q), 0.0) * c.sum(1) / (c.sum(1) + TRUST)
+    p, q = (toxic_c + 0.5) / (y.sum() + 1), (all_c - toxic_c + 0.5) / (len(y) - y.sum() + 1)
+    ratio = np.maximum(np.log(p / q), 0.0) * all_c / (all_c + TRUST)
+    keep &= (ratio > 0) | np.array([x in needed for x in ids])
+    place = np.where(keep, np.cumsum(keep) - 1, -1)
+    vocab = {x: int(place[i]) for x, i in ids.items() if keep[i]}
+    scale = ratio[keep]
+    ids.clear()
     row = lambda found: np.array(sorted(vocab[x] for x in features(found) if x in vocab), np.int64)
-    base = _Rows([row(found) for found, _ in labelled], scale)
-    named = [found for found, _ in labelled if found & SWAP.keys()]
+    base = _Rows([place[r][place[r] >= 0] for r in rows], scale)
+    rows.clear()
     pairs = [(f, {SWAP.get(x, x) for x in f}) for f in named] + [(f, {NEUTRAL if x in SWAP else x for x in f}) for f in named]
     left, right = _Rows([row(a) for a, _ in pairs], scale), _Rows([row(b) for _, b in pairs], scale)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels count alike
@@ -150,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = chosen.select(F.col(id_col).cast("string"), F.col("_label").cast("bigint"), "_text").mapInArrow(run, "id string, label bigint, words array<string>").toArrow()
     order = sorted(zip(rows["id"].to_pylist(), rows["label"].to_pylist(), range(rows.num_rows), strict=True))
     lists = rows["words"]
-    return fit([(set(lists[i].as_py()), int(label > 0)) for _, label, i in order])
+    return fit((set(lists[i].as_py()), int(label > 0)) for _, label, i in order)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
