@@ -42,7 +42,7 @@ BLOCK, CENTRES, STAND = 2048, 4, 8192
 #: Documents of one task with one token that are tied within the task.
 CROWD = 64
 #: Documents that a task gathers before it sends their tokens; buckets of tokens for each shuffle partition.
-GATHER, BUCKETS = 16_384, 8
+GATHER, BUCKETS = 6144, 8
 
 _PAYLOAD = "bucket int, kind int, payload binary"
 DOC, COPY, TOKEN, EDGE, LOCAL, MAP = 0, 1, 2, 3, 4, 5
