@@ -88,7 +88,7 @@ def case_list(spark: SparkSession, path: str) -> DataFrame:
 def name_pool(spark: SparkSession, path: str) -> DataFrame:
     """place, name of a comma-separated pool."""
     raw = spark.read.option("wholetext", True).text(path)
-    return raw.select(F.posexplode(F.filter(F.transform(F.split("value", ","), F.trim), lambda x: x != "")).alias("place", "name"))
+    return raw.select(F.posexplode(F.filter(F.transform(F.split("value", ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")).alias("place", "name"))
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:

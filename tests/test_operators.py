@@ -12,6 +12,7 @@ from annolyte.operators import evaluate as E
 from annolyte.operators import filters as Q
 from annolyte.operators import match, metrics, rules
 from annolyte.operators import tracking as T
+from annolyte.streaming import tracker as TS
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -22,11 +23,14 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         df.where((F.col("frame") >= 10 * k) & (F.col("frame") < 10 * k + 10)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = T.tracker_stream(stream).writeStream.format("memory").queryName("tracker").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = TS.tracker_stream(stream).writeStream.format("memory").queryName("tracker").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r.track_id, r.frame): (r.streak, r.alive, r.is_confirmed) for r in spark.table("tracker").collect()}
     batch = {(r.track_id, r.frame): (r.streak, r.is_confirmed) for r in T.confirmed(df).collect()}
     assert {k: (v[0], v[2]) for k, v in got.items()} == batch
+    q = TS.accumulate(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp2"))
+    q.awaitTermination(120)
+    assert TS.synced(spark, str(tmp_path / "out")).count() == len(rows)
     last = {r.track_id: r.alive for r in T.keep_alive(df).collect()}
     assert {t: got[t, 29][1] for t in range(6)} == last
 
