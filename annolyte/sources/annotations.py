@@ -14,7 +14,7 @@ FILE = f"struct<Labels: array<struct<Label: string, Shapes: array<{SHAPE}>, Stat
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """case_id (the path), json: the raw text stays, as rules must see type errors that a typed parse hides."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("case_id"), F.col("value").alias("json"))
 
 
@@ -87,7 +87,7 @@ def case_list(spark: SparkSession, path: str) -> DataFrame:
 
 def name_pool(spark: SparkSession, path: str) -> DataFrame:
     """place, name of a comma-separated pool."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.posexplode(F.filter(F.transform(F.split("value", ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")).alias("place", "name"))
 
 

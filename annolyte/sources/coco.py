@@ -14,7 +14,7 @@ TRACKS = "array<struct<id: bigint, video_id: bigint, category_id: bigint, iscrow
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """dataset (the path), v: the document as VARIANT."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("dataset"), F.try_parse_json("value").alias("v"))
 
 

@@ -17,7 +17,7 @@ from annolyte.sources import coco as C
 def test_annotation_files(spark, tmp_path):
     doc = {"flags": {}, "Labels": [{"Label": "Wires", "Shapes": [
         {"Type": "polygon", "points": [[1, 2], [3, 4]], "thickness": [2, 4], "Attributes": {"category_id": 1}}, {"Type": "circle", "points": [[0, 0], [2, 0]], "thickness": [0, 1]}, {"Type": "line", "points": [[0, 0]], "thickness": [1, 2]}]}]}
-    (tmp_path / "a.json").write_text(json.dumps(doc))
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
     (tmp_path / "b.json").write_text("broken {")
     files = A.read_files(spark, str(tmp_path))
     assert files.count() == 2
@@ -50,7 +50,7 @@ def test_lists_frames_and_settings(spark, tmp_path):
 def test_coco(spark, tmp_path):
     doc = {"images": [{"id": 0, "file_name": "a"}, {"id": 1, "file_name": "b"}], "categories": [{"id": 1, "name": "x"}, {"id": 2, "name": "y"}],
            "annotations": [{"id": 5, "image_id": 0, "category_id": 1, "bbox": [0, 0, 2, 3], "area": 6, "iscrowd": 0}]}
-    (tmp_path / "a.json").write_text(json.dumps(doc))
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
     i, a, c = C.tables(C.read(spark, str(tmp_path / "a.json")))
     assert [len(r.annotations) for r in C.by_image(i, a).collect()] == [1, 0]
     assert C.datapoints(i, a, c, 1).count() == 4 and C.datapoints(i, a, c, 1, negatives=False).count() == 1
