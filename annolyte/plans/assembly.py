@@ -13,14 +13,16 @@ from .matching import AREA_A, AREA_B, INTER, MATCHED
 from .registry import register, table
 from .virtual import WITH, frames, preds, shapes
 
-BOX = B.box("x0", "y0", "x1", "y1")
+def corners():
+    return B.box("x0", "y0", "x1", "y1")
+
 
 
 @register("curation", f"""{MATCHED} SELECT case_id, 'gt' AS source, count(*) AS n FROM m GROUP BY case_id
     UNION ALL SELECT p.case_id, 'model', count(*) FROM preds p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.case_id = p.case_id AND m.pred_id = p.pred_id) GROUP BY p.case_id""")
 def _(spark, sf_dir):
-    g = shapes(spark, sf_dir).select("case_id", F.col("shape_id").alias("id"), BOX.alias("box"))
-    d = preds(spark, sf_dir).select("case_id", F.col("pred_id").alias("id"), BOX.alias("box"))
+    g = shapes(spark, sf_dir).select("case_id", F.col("shape_id").alias("id"), corners().alias("box"))
+    d = preds(spark, sf_dir).select("case_id", F.col("pred_id").alias("id"), corners().alias("box"))
     return S.curated(g, d, ["case_id"]).groupBy("case_id", "source").agg(F.count("*").alias("n"))
 
 
@@ -131,7 +133,7 @@ FRAME_NMS = f"""{WITH}, o AS (SELECT case_id, pred_id, x0, y0, x1, y1, row_numbe
 
 @register("frame_nms", FRAME_NMS)
 def _(spark, sf_dir):
-    d = preds(spark, sf_dir).select("case_id", "score", "pred_id", BOX.alias("box"))
+    d = preds(spark, sf_dir).select("case_id", "score", "pred_id", corners().alias("box"))
     return match.greedy_nms(d, ["case_id"], ["-score", "pred_id"], 0.3).select("case_id", "pred_id")
 
 

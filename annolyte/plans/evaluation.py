@@ -11,13 +11,15 @@ from ..operators.batched import by_group
 from .registry import register
 from .virtual import WITH, preds, shapes
 
-BOX = B.box("x0", "y0", "x1", "y1")
+def corners():
+    return B.box("x0", "y0", "x1", "y1")
+
 
 
 def _images(spark, sf_dir):
     """Each line number of a case is an image: the sides are kept small, and some images lack one."""
-    gt = shapes(spark, sf_dir).where("score % 3 <> 0").select("case_id", F.col("shape_id").alias("id"), BOX.alias("box"))
-    dt = preds(spark, sf_dir).where("score % 4 <> 1").select("case_id", F.col("pred_id").alias("id"), (F.col("score") / 100.0 + 0.3).alias("score"), BOX.alias("box"))
+    gt = shapes(spark, sf_dir).where("score % 3 <> 0").select("case_id", F.col("shape_id").alias("id"), corners().alias("box"))
+    dt = preds(spark, sf_dir).where("score % 4 <> 1").select("case_id", F.col("pred_id").alias("id"), (F.col("score") / 100.0 + 0.3).alias("score"), corners().alias("box"))
     spine = shapes(spark, sf_dir).select("case_id").distinct()
     return E.sided(gt, dt, ["case_id"], spine)
 
@@ -71,7 +73,7 @@ def _tracks(spark, sf_dir):
 
     def side(df, key, n):
         g = df.where(f"{key} <= 4").groupBy(v, f, F.col(key).alias("id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-        return g.select("video_id", "frame", F.lit(n).alias("side"), "id", BOX.alias("box"))
+        return g.select("video_id", "frame", F.lit(n).alias("side"), "id", corners().alias("box"))
 
     return side(shapes(spark, sf_dir), "line", 0).unionByName(side(preds(spark, sf_dir), "pred_id", 1))
 
@@ -197,7 +199,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from ..operators.match import contained_in
 
-    s = shapes(spark, sf_dir).select("case_id", "shape_id", BOX.alias("box"))
+    s = shapes(spark, sf_dir).select("case_id", "shape_id", corners().alias("box"))
     return contained_in(s, s.withColumnRenamed("shape_id", "region_id"), ["case_id"], -2.0).where("shape_id <> region_id").select("case_id", "shape_id", "region_id")
 
 

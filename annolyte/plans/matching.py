@@ -11,7 +11,9 @@ from ..operators import match, metrics
 from .registry import register, table
 from .virtual import WITH, frames, preds, shapes
 
-BOX = B.box("x0", "y0", "x1", "y1")
+def corners():
+    return B.box("x0", "y0", "x1", "y1")
+
 #: SQL of the intersection and the areas of boxes a and b.
 INTER = "(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0))"
 AREA_A, AREA_B = "((a.x1 - a.x0) * (a.y1 - a.y0))", "((b.x1 - b.x0) * (b.y1 - b.y0))"
@@ -20,11 +22,11 @@ HULL = "((greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - le
 
 
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes(spark, sf_dir).withColumn("box", BOX)
+    return shapes(spark, sf_dir).withColumn("box", corners())
 
 
 def _preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preds(spark, sf_dir).withColumn("box", BOX)
+    return preds(spark, sf_dir).withColumn("box", corners())
 
 
 def _self_pairs(spark, sf_dir):
@@ -260,7 +262,7 @@ def _(spark, sf_dir):
     def tracks(df, key, name):
         v, f = F.floor(F.col("case_id") / 320).alias("video_id"), (F.floor(F.col("case_id") / 32) % 10).alias("frame")
         g = df.where(f"{key} <= 4").groupBy(v, f, F.col(key).alias(name)).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-        return g.select("video_id", "frame", name, BOX.alias("box"))
+        return g.select("video_id", "frame", name, corners().alias("box"))
 
     got = match.track_iou(tracks(shapes(spark, sf_dir), "line", "a_id"), tracks(preds(spark, sf_dir), "pred_id", "b_id"), ["video_id"])
     return got.withColumn("iou", F.round("iou", 6))
