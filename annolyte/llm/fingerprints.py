@@ -18,20 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
-
 #: Samples of a fingerprint; words longer than this many characters count as their runs of 8.
 SAMPLES, LONG_WORD = 64, 40
 #: Pairs of term and weight whose draws are made at once; terms that a worker remembers.
 PAIRS, TERMS = 60_000, 200_000
-_SPLIT = str.maketrans({c: " " for c in SPACES})
 
 
 def terms(text: str) -> Counter:
-    """Weighted terms: words between ASCII white space, lower-cased, by count."""
-    words = text.translate(_SPLIT).lower().split(" ") if not text.isascii() else text.lower().split()
-    found = Counter(words)
-    found.pop("", None)
+    """Weighted terms: words between white space, lower-cased, by count."""
+    found = Counter(text.lower().split())
     for w in [w for w in found if len(w) > LONG_WORD]:
         n = found.pop(w)
         for i in range(len(w) - 7):
@@ -78,17 +73,20 @@ def log_a(hashes: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np
     return np.subtract(_LN_C[parts[..., 1]], t, out=t)
 
 
+class _Hashes(dict):
+    def __missing__(self, term: str) -> int:
+        import xxhash
+
+        h = self[term] = xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class Sampler:
     """Fingerprints of term counters, many at once."""
 
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
-        self.hashes: dict[str, int] = {}
-
-    def _hash(self, term: str) -> int:
-        import xxhash
-
-        return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass"))
+        self.hashes = _Hashes()
 
     def sign(self, docs: list[Counter]) -> np.ndarray:
         """uint16 samples, a row for each document; those without terms get the row of the empty term."""
@@ -104,30 +102,24 @@ class Sampler:
         return out
 
     def _sign(self, docs: list[Counter]) -> np.ndarray:
-        place: dict[tuple[str, int], int] = {}
-        rows, starts = [], []
-        for d in docs:
-            starts.append(len(rows))
-            for pair in d.items() if d else [("", 1)]:
-                rows.append(place.setdefault(pair, len(place)))
-        known = self.hashes
-        if len(known) > TERMS:
-            known.clear()
-        keys = []
-        for term, _ in place:
-            h = known.get(term)
-            if h is None:
-                h = known[term] = self._hash(term)
-            keys.append(h)
-        weights = np.fromiter((n for _, n in place), np.float64, len(place))
-        table = np.empty((len(place), self.samples), np.float32)
-        keys = np.array(keys, np.uint64)
-        for i in range(0, len(place), 8192):
-            table[i : i + 8192] = log_a(keys[i : i + 8192], weights[i : i + 8192], self.samples)
-        rows_at = np.array(rows)
+        if len(self.hashes) > TERMS:
+            self.hashes.clear()
+        hashed = self.hashes.__getitem__
+        docs = [d or {"": 1} for d in docs]
+        sizes = [len(d) for d in docs]
+        keys = np.concatenate([np.fromiter(map(hashed, d), np.uint64, n) for d, n in zip(docs, sizes, strict=True)])
+        weights = np.concatenate([np.fromiter(d.values(), np.int64, n) for d, n in zip(docs, sizes, strict=True)])
+        # Documents share terms of one weight, whose draws are made once.
+        with np.errstate(over="ignore"):
+            pairs = keys ^ _mix(weights.astype(np.uint64))
+        _, first, rows_at = np.unique(pairs, return_index=True, return_inverse=True)
+        keys, weights = keys[first], weights[first].astype(np.float64)
+        table = np.empty((len(keys), self.samples), np.float32)
+        for i in range(0, len(keys), 2048):
+            table[i : i + 2048] = log_a(keys[i : i + 2048], weights[i : i + 2048], self.samples)
         least = np.empty((len(docs), self.samples), np.float32)
-        for i, s in enumerate(starts):
-            e = starts[i + 1] if i + 1 < len(starts) else len(rows)
+        ends = np.cumsum(sizes)
+        for i, (s, e) in enumerate(zip(ends - sizes, ends, strict=True)):
             table.take(rows_at[s:e], axis=0).min(axis=0, out=least[i])
         with np.errstate(over="ignore"):
             return (_mix(least.view(np.uint32).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
