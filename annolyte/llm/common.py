@@ -36,6 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(batches, rows: int):
+    """Arrow batches in smaller parts, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def without_spaces(text: Column) -> Column:
     """text without ASCII white space; null counts as empty."""
     text = F.coalesce(text, F.lit(""))

@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts_of
+
 #: Samples of a fingerprint; words longer than this many characters count as their runs of 8.
 SAMPLES, LONG_WORD = 64, 40
 #: Pairs of term and weight whose draws are made at once; terms that a worker remembers.
-PAIRS, TERMS = 60_000, 200_000
+PAIRS, TERMS = 60_000, 100_000
 
 
 def terms(text: str) -> Counter:
@@ -139,11 +141,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                signs = sampler.sign([terms(t or "") for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(">u2").tobytes().hex() for s in signs])], [id_col, "fingerprint"])
+        for part in parts_of(batches, 256):
+            signs = sampler.sign([terms(t or "") for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(">u2").tobytes().hex() for s in signs])], [id_col, "fingerprint"])
 
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
@@ -237,8 +237,8 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
         rows, size, at, ended = [], 0, None, False
-        for batch in batches:
-            for where, tail, key, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for part in parts_of(batches, 256):
+            for where, tail, key, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 if where != at:
                     rows, size, at, ended = [], 0, where, False
                 if ended:  # repeated rows of the next range's first id

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, parts_of
 
 #: Labelled texts that trigrams are counted in at most, those of least hash.
 SAMPLE = 2000
@@ -97,7 +97,7 @@ def evidence(rows: DataFrame, model: TrigramModel) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 512):
             declared, ll = [], []
             for text, markup in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 text = text or ""

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts_of
+
 #: Labelled rows that the model is fitted to at most, those of least hash; rows with a word at least to keep it.
 SAMPLE, MIN_ROWS = 3000, 2
 THRESHOLD = 0.7
@@ -154,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(ids), id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 512):
             found = [sorted(words(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(found, pa.list_(pa.string()))], ["id", "label", "words"])
 
@@ -169,7 +171,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     weights = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 512):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([weights.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], [id_col, "score"])
 
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
@@ -182,7 +184,7 @@ def keep_nontoxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 512):
             keep = pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_())
             yield batch.filter(keep)
 
