@@ -123,16 +123,17 @@ def track_iou(a: DataFrame, b: DataFrame, by: list[str], frame: str = "frame") -
     return out.select(*by, "a_id", "b_id", "shared", F.coalesce(F.col("inter") / F.nullif(F.col("area_a") + F.col("area_b") - F.col("inter"), F.lit(0.0)), F.lit(0.0)).alias("iou"))
 
 
-def nearest_frames(targets: DataFrame, conditions: DataFrame, by: list[str], n: int) -> DataFrame:
-    """For each target frame up to n conditioning frames: the first of all... by nearness as below.
+def nearest_frames(targets: DataFrame, conditions: DataFrame, by: list[str], n: int, keep_first: bool = False) -> DataFrame:
+    """For each target frame, up to n conditioning frames: by, frame, cond, rank.
 
-    Always the closest before and the closest at or after; the rest by distance, the earlier of
-    equals. With at most n conditioning frames all are chosen. targets: by, frame; conditions: by, cond.
+    The closest before and the closest at or after always; the rest by distance, the earlier of equals. keep_first:
+    also the first of those before always, or, if there's none, the last of those after. targets: by, frame; conditions: by, cond.
     """
     pair = targets.join(conditions, by)
     w = Window.partitionBy(*by, "frame")
-    before = F.max(F.when(F.col("cond") < F.col("frame"), F.col("cond"))).over(w)
-    after = F.min(F.when(F.col("cond") >= F.col("frame"), F.col("cond"))).over(w)
-    first = F.when((F.col("cond") == before) | (F.col("cond") == after), 0).otherwise(1)
-    ranked = pair.withColumns({"_first": first}).withColumn("rank", F.row_number().over(w.orderBy("_first", F.abs(F.col("cond") - F.col("frame")), "cond")))
+    c, f = F.col("cond"), F.col("frame")
+    sure = F.coalesce(c == F.max(F.when(c < f, c)).over(w), F.lit(False)) | F.coalesce(c == F.min(F.when(c >= f, c)).over(w), F.lit(False))
+    if keep_first:
+        sure = sure | (c == F.coalesce(F.min(F.when(c < f, c)).over(w), F.max(F.when(c > f, c)).over(w), F.lit(-1)))
+    ranked = pair.withColumn("_sure", F.when(sure, 0).otherwise(1)).withColumn("rank", F.row_number().over(w.orderBy("_sure", F.abs(c - f), "cond")))
     return ranked.where(F.col("rank") <= n).select(*by, "frame", "cond", F.col("rank").cast("long"))

@@ -130,3 +130,11 @@ def test_query_draws_repeat(spark):
     a = sorted(r.query_id for r in Q.keep_most(q, ["g"], 6, "pos").collect())
     b = sorted(r.query_id for r in Q.keep_most(q.repartition(9), ["g"], 6, "pos").collect())
     assert a == b and len(a) == 18 and {i for i in range(60) if i % 5 == 0} & set(a)
+
+
+def test_nearest_conditioning_frames(spark):
+    t = spark.createDataFrame([(1, 10), (1, 0)], "v long, frame long")
+    c = spark.createDataFrame([(1, i) for i in (1, 5, 8, 9, 20, 30)], "v long, cond long")
+    pick = lambda **kw: {f: sorted(r.cond for r in match.nearest_frames(t, c, ["v"], 3, **kw).collect() if r.frame == f) for f in (0, 10)}
+    assert pick() == {10: [8, 9, 20], 0: [1, 5, 8]}
+    assert pick(keep_first=True) == {10: [1, 9, 20], 0: [1, 5, 30]}
