@@ -12,6 +12,16 @@ VIDEOS = "array<struct<id: bigint, file_names: array<string>, width: bigint, hei
 TRACKS = "array<struct<id: bigint, video_id: bigint, category_id: bigint, iscrowd: bigint, score: double, bboxes: array<array<double>>, areas: array<double>, segmentations: array<variant>>>"
 
 
+def running_ids(rows: DataFrame, by: list[str], group: str, order: list, name: str, start: int = 0) -> DataFrame:
+    """Numbers rows in order of group, then order, within by. Rows are numbered within their group; only a count
+    for each group goes through one ordered pass, so no task holds all rows."""
+    n = rows.groupBy(*by, group).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
+    n = n.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*by, group).orderBy(*order)) - 1
+    return rows.join(n, [*by, group]).withColumn(name, (F.col("_before") + place + start).cast("long")).drop("_before")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """dataset (the path), v: the document as VARIANT."""
     raw = spark.read.text(path, wholetext=True)
@@ -61,9 +71,8 @@ def one_based(images: DataFrame, annotations: DataFrame, categories: DataFrame)
 
 def completed(results: DataFrame) -> DataFrame:
     """Result rows with bbox, area and id filled in where they lack: area from the box, ids by a running number in each image's order."""
-    w = Window.partitionBy("dataset").orderBy("image_id", F.desc("score"), F.to_json("bbox"))
     r = results.withColumn("area", F.coalesce("area", F.col("bbox")[2] * F.col("bbox")[3]))
-    return r.withColumns({"id": F.row_number().over(w).cast("long"), "iscrowd": F.lit(0)})
+    return running_ids(r, ["dataset"], "image_id", [F.desc("score"), F.to_json("bbox")], "id", 1).withColumn("iscrowd", F.lit(0))
 
 
 def unknown_images(results: DataFrame, images: DataFrame) -> DataFrame:
@@ -74,8 +83,7 @@ def unknown_images(results: DataFrame, images: DataFrame) -> DataFrame:
 def video_frames(videos: DataFrame) -> DataFrame:
     """Images of videos: dataset, id (running), video_id, frame_index, file_name, width, height."""
     f = videos.select("dataset", F.col("id").alias("video_id"), "width", "height", F.posexplode("file_names").alias("frame_index", "file_name"))
-    w = Window.partitionBy("dataset").orderBy("video_id", "frame_index")
-    return f.withColumn("id", (F.row_number().over(w) - 1).cast("long"))
+    return running_ids(f, ["dataset"], "video_id", ["frame_index"], "id")
 
 
 def track_annotations(tracks: DataFrame, images: DataFrame, pred: bool = False) -> DataFrame:
@@ -89,8 +97,7 @@ def track_annotations(tracks: DataFrame, images: DataFrame, pred: bool = False)
     if pred:
         t = t.where(~F.forall("bbox", lambda v: v <= 0)).withColumn("area", F.when(F.col("area") > 0, F.col("area")).otherwise(F.col("bbox")[2] * F.col("bbox")[3]))
     joined = t.join(images.select("dataset", "video_id", "frame_index", F.col("id").alias("image_id")), ["dataset", "video_id", "frame_index"])
-    w = Window.partitionBy("dataset").orderBy("video_id", "frame_index", "track_id")
-    return joined.withColumn("id", (F.row_number().over(w) - 1).cast("long"))
+    return running_ids(joined, ["dataset"], "video_id", ["frame_index", "track_id"], "id")
 
 
 def prediction_rows(preds: DataFrame) -> DataFrame:
@@ -106,8 +113,7 @@ def mask_area(counts: Column) -> Column:
 def pair_ids(gt: DataFrame, negatives: DataFrame, video: str = "video_id", category: str = "category_id") -> DataFrame:
     """A surrogate id from 1 for each (video, category) of either table."""
     both = gt.select(video, category).union(negatives.select(video, category)).distinct()
-    # The pairs of one data set; numbered after a sort, so that ids don't depend on partitioning.
-    return both.withColumn("pair_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(video, category)).cast("long"))
+    return running_ids(both, [], video, [category], "pair_id", 1)
 
 
 def detections(spark: SparkSession, path: str, sep: str = ",", time_col: int = 0, id_col: int = 1, crowd_cols: dict[int, list[float]] | None = None, keep: dict[int, list[float]] | None = None) -> DataFrame:
