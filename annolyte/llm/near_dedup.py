@@ -9,19 +9,23 @@ from .common import materialize
 from .ngram_join import jaccard_components
 
 
+#: The id's name in tables joined to the input's, which may have any other column.
+OWN = "_near_duplicate_of_id"
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the least of their component; all columns stay.
 
     Documents that link with nothing stay, as do rows without an id. Of rows that repeat an id, one stays.
     Only the ids of rows to drop are joined back, so a join with few of them needs no shuffle of texts.
     """
-    found = materialize(jaccard_components(docs, id_col, text_col).withColumnsRenamed({id_col: "_id"}), "near")
-    ids = found.where(F.col("_id").isNotNull())
-    drop = ids.where(F.col("_id") != F.col("component_id")).select("_id").distinct()
-    kept = docs.join(drop, F.col(id_col) == F.col("_id"), "left_anti")
-    repeated = ids.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    found = materialize(jaccard_components(docs, id_col, text_col).withColumnsRenamed({id_col: OWN}), "near")
+    ids = found.where(F.col(OWN).isNotNull())
+    drop = ids.where(F.col(OWN) != F.col("component_id")).select(OWN).distinct()
+    kept = docs.join(drop, F.col(id_col) == F.col(OWN), "left_anti")
+    repeated = ids.groupBy(OWN).agg(F.count("*").alias("n")).where("n > 1").select(OWN)
     if not repeated.take(1):
         return kept
     repeated = materialize(repeated, "repeated")
-    once = kept.join(repeated, F.col(id_col) == F.col("_id"), "left_anti")
-    return once.unionByName(kept.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col]))
+    once = kept.join(repeated, F.col(id_col) == F.col(OWN), "left_anti")
+    return once.unionByName(kept.join(repeated, F.col(id_col) == F.col(OWN), "left_semi").dropDuplicates([id_col]))

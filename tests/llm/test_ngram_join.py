@@ -72,8 +72,9 @@ def test_repeats_and_nulls(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
     got = sorted([tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=repr)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None)], key=repr)
-    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted([r.doc_id for r in kept], key=repr) == [1, None]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _id string")
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted([r.doc_id for r in kept.collect()], key=repr) == [1, None]
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
