@@ -36,6 +36,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of an id filter: 2 MB, whatever the number of ids.
+FILTER_BITS = 1 << 24
+
+
+def _places(key: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(bits)) for salt in (11, 23)]
+
+
+def may_be_in(ids: DataFrame, name: str, key: Column, bits: int = FILTER_BITS) -> Column:
+    """A condition on key (bigint) that is true for all ids in the table and for few others: a Bloom filter of fixed size.
+
+    It spares rows a shuffle before an exact join. With many more ids than bits / 8 it lets most rows through, and the join does the
+    work. Its bytes, bits / 8 at most, go to the driver and into the plan.
+    """
+    hit = ids.select(F.explode(F.array(*_places(F.col(name), bits))).alias("h"))
+    rows = hit.groupBy(F.floor(F.col("h") / 8).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("h", F.lit(8)).cast("int"))).alias("v")).toArrow()
+    table = bytearray(bits // 8)
+    for at, v in zip(rows["at"].to_pylist(), rows["v"].to_pylist(), strict=True):
+        table[at] = v
+    held = F.lit(table)
+
+    def bit(h: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(held, (F.floor(h / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, F.pmod(h, F.lit(8)).cast("int")).bitwiseAND(1) == 1
+
+    first, second = _places(key, bits)
+    return F.coalesce(bit(first) & bit(second), F.lit(False))
+
+
 def parts_of(batches, rows: int):
     """Arrow batches in smaller parts, so that a worker holds few texts as Python objects at once."""
     for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, may_be_in
 from .components import components
 from .shingles import Shingler, set_key
 from .signature_tree import folded, link, one_bitmap, traverse
@@ -370,7 +370,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         centres = blocks.join(ranked, "component").select(F.explode("c").alias("_id"), "component", "_class", "_part")
         where = small.unionByName(dealt.unionByName(centres).distinct())
     none = {"_probe": F.lit(False), "_group": F.lit(None).cast("bigint")}
-    texts = base.where(F.col("_id").isNotNull())
+    # Texts of documents in no forest are left out before the shuffle.
+    texts = base.where(F.col("_id").isNotNull() & may_be_in(members.select("node"), "node", F.col("_id")))
     by = ["component", "_class", "_part"]
     rows1 = texts.join(where, "_id").withColumns(none).repartition(parts, *by).sortWithinPartitions(*by, "_id")
     links = materialize(_joined(rows1, size, by, False), "links")
