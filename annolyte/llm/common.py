@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,21 +50,19 @@ def may_be_in(ids: DataFrame, name: str, key: Column, bits: int = FILTER_BITS) -
     """A condition on key (bigint) that is true for all ids in the table and for few others: a Bloom filter of fixed size.
 
     It spares rows a shuffle before an exact join. With many more ids than bits / 8 it lets most rows through, and the join does the
-    work. Its bytes, bits / 8 at most, go to the driver and into the plan.
+    work. Its bits / 8 bytes go by way of the driver to the workers, which get just two numbers for each row.
     """
     hit = ids.select(F.explode(F.array(*_places(F.col(name), bits))).alias("h"))
     rows = hit.groupBy(F.floor(F.col("h") / 8).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("h", F.lit(8)).cast("int"))).alias("v")).toArrow()
-    table = bytearray(bits // 8)
-    for at, v in zip(rows["at"].to_pylist(), rows["v"].to_pylist(), strict=True):
-        table[at] = v
-    held = F.lit(table)
+    table = np.zeros(bits // 8, np.uint8)
+    table[rows["at"].to_numpy()] = rows["v"].to_numpy()
 
-    def bit(h: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(held, (F.floor(h / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.call_function("shiftright", byte, F.pmod(h, F.lit(8)).cast("int")).bitwiseAND(1) == 1
+    @F.arrow_udf("boolean")
+    def held(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = a.to_numpy(), b.to_numpy()
+        return pa.array((table[x >> 3] >> (x & 7) & (table[y >> 3] >> (y & 7)) & 1).astype(bool))
 
-    first, second = _places(key, bits)
-    return F.coalesce(bit(first) & bit(second), F.lit(False))
+    return held(*_places(key, bits))
 
 
 def parts_of(batches, rows: int):
