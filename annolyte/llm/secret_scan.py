@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from .common import field, unwrapped, wrapped
 
 #: What may be a secret: fixed patterns. Values assigned to a telling name, keys that name their issuer, and long runs of letters and digits that have a digit.
-RUN = r"[A-Za-z0-9][A-Za-z0-9_+/.\-]{14,510}[A-Za-z0-9]={0,2}"
-ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret)[=:])[^\s\"',;]{6,256}"
-KEYED = r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[opsru]_|github_pat_|glpat-|sk_live_|rk_live_|npm_)[A-Za-z0-9_\-]{16,255})(?![A-Za-z0-9_])"
+#: No pattern has an upper bound: a candidate covers its whole run. Runs are entered at their start only, so time stays linear.
+RUN = r"[A-Za-z0-9][A-Za-z0-9_+/.\-]{14,}[A-Za-z0-9]={0,2}"
+ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret)[=:])[^\s\"',;]{6,}"
+KEYED = r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[opsru]_|github_pat_|glpat-|sk_live_|rk_live_|npm_)[A-Za-z0-9_\-]{16,})(?![A-Za-z0-9_])"
 CANDIDATE = rf"{ASSIGNED}|{KEYED}|(?<![A-Za-z0-9_+/.@\-])(?=[A-Za-z_+/.\-]*[0-9]){RUN}(?![A-Za-z0-9@])"
 #: Words beside a secret, and beside what only looks like one: fixed values.
 TELLING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(orization)?|bearer|credential|client[_-]?secret)"
@@ -43,7 +44,7 @@ def feature_columns(value: Column, before: Column, after: Column) -> list[Column
         n,
         F.regexp_count(value, F.lit(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[a-z])")) / n,
         (n - F.length(F.regexp_replace(low, f"({PIECES})", ""))) / n,
-        flag(value.rlike(r"/.*/|\.[a-z]{2,4}$|^\d+(\.\d+)+") | before.rlike(r"[/\\]$") | after.rlike(r"^[/\\]|^\.[a-z]{2,4}\b")),
+        flag(value.rlike(r"/.*/|\.[a-z]{2,4}$|^\d+\.\d") | before.rlike(r"[/\\]$") | after.rlike(r"^[/\\]|^\.[a-z]{2,4}\b")),
         flag(before.rlike(TELLING + r"\W*$") | before.rlike(TELLING + r"\s+\S{0,12}\s*$")),
         flag(before.rlike(HARMLESS + r"\W*\w{0,3}\W*$")),
         flag(value.rlike(ISSUED)),
