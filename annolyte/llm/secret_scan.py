@@ -17,13 +17,17 @@ from .common import field, unwrapped, wrapped
 
 #: What may be a secret: fixed patterns. Values assigned to a telling name, keys that name their issuer, and long runs of letters and digits that have a digit.
 #: No pattern has an upper bound: a candidate covers its whole run. Runs are entered at their start only, so time stays linear.
-RUN = r"[A-Za-z0-9][A-Za-z0-9_+/.\-]{14,}[A-Za-z0-9]={0,2}"
-ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret)[=:])[^\s\"',;]{6,}"
+RUN = r"[A-Za-z0-9][A-Za-z0-9_+/.\-]{14,}[A-Za-z0-9]"
 KEYED = r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[opsru]_|github_pat_|glpat-|sk_live_|rk_live_|npm_)[A-Za-z0-9_\-]{16,})(?![A-Za-z0-9_])"
-CANDIDATE = rf"{ASSIGNED}|{KEYED}|(?<![A-Za-z0-9_+/.@\-])(?=[A-Za-z_+/.\-]*[0-9]){RUN}(?![A-Za-z0-9@])"
 #: Words beside a secret, and beside what only looks like one: fixed values.
 TELLING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(orization)?|bearer|credential|client[_-]?secret)"
 HARMLESS = r"(?i)(commit|sha(1|256)?|md5|checksum|digest|hash|revision|uuid|guid|etag|version|build|order|invoice|isbn|card|phone|href|src|https?)"
+#: Between a telling name and its value: part of a match, as its length has no bound, but not of the value.
+SIGN = r"[\"']?\s*+[=:]\s*+[\"']?(?:(?i:bearer|basic)\s++)?"
+NAMED = rf"(?<=(?i:{TELLING.removeprefix('(?i)')}))"
+ASSIGNED = rf"(?=[\"'\s=:])(?<=[A-Za-z])(?=[\"']?\s*+[=:]){NAMED}{SIGN}[^\s\"',;]{{6,}}"
+# A run leaves a telling name its equals sign.
+CANDIDATE = rf"{ASSIGNED}|{KEYED}|(?<![A-Za-z0-9_+/.@\-])(?=[A-Za-z_+/.\-]*[0-9]){RUN}(?:(?<!(?i:{TELLING.removeprefix('(?i)')}))={{1,2}})?(?![A-Za-z0-9@])"
 #: Prefixes of keys that name their issuer: fixed values.
 ISSUED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|ya29\.|eyJ|SG\.|npm_|pypi-)"
 #: Letter groups that words of several languages are made of: the dictionary of coverage, fixed values.
@@ -68,6 +72,11 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     names = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "client_secret", "SECRET_KEY", "Authorization: Bearer"]
     quiet = ["commit", "sha256:", "sha1", "md5", "checksum", "digest", "uuid", "etag", "revision", "order", "invoice", "card", "build", "hash"]
     assign = lambda: r.choice(["=", " = ", ": ", "=\"", " = \"", ":"])
+    named = ["password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "access_key", "private_key", "auth", "credential", "client_secret"]
+    letters = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    swaps = str.maketrans("oeia", "0314")
+    # Words that a person made a password of: letters swapped for digits, a number behind, another sign.
+    chosen = lambda: r.choice([lambda w: w.translate(swaps) + str(r.randint(0, 99)), lambda w: w.capitalize() + str(r.randint(1, 9999)), lambda w: w + str(r.randint(1, 9999)) + letters(3).lower(), lambda w: w.capitalize().translate(swaps) + r.choice("!#$%&*") + str(r.randint(0, 9))])(word() + letters(3).lower())
     good = [
         lambda: ("AKIA" + upper(16), prose()),
         lambda: ("AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16)), prose()),
@@ -78,6 +87,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
         lambda: (mixed(r.randint(16, 64)), prose() + r.choice(names) + assign()),
         lambda: (mixed(r.randint(8, 20)), prose() + r.choice(names[:4]) + "="),
         lambda: (word() + str(r.randint(0, 9999)) + r.choice("!#$%&*"), prose() + r.choice(names[:4]) + r.choice(["=", ":"])),
+        lambda: (r.choice([lambda: mixed(r.randint(6, 16)), lambda: hexa(r.randint(8, 16)), lambda: letters(r.randint(10, 40)), chosen])(), prose() + r.choice(named) + assign()),
         lambda: (mixed(40), prose() + r.choice(["aws_secret_access_key", "private_key", "credential"]) + assign()),
         lambda: ("eyJ" + mixed(r.randint(30, 90)) + "." + mixed(40), prose()),
     ]
@@ -93,6 +103,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
         lambda: ("20" + str(r.randint(10, 30)) + "-" + str(r.randint(10, 12)) + "-" + str(r.randint(10, 28)) + "T" + str(r.randint(10, 23)) + "0000Z", prose()),
         lambda: ("_".join(word() for _ in range(3)) + "_v" + str(r.randint(1, 9)) + word(), prose() + r.choice(["version ", "build ", ""])),
         lambda: (word() + "_" + word() + str(r.randint(1, 99)) + "_" + word(), prose() + r.choice(["token ", "key ", "password "])),
+        lambda: (r.choice([word, lambda: word() + word(), lambda: word() + "_" + word(), lambda: word() + "." + word(), lambda: word() + "()"])(), prose() + r.choice(named) + assign()),
     ]
     out = []
     for i in range(n):
@@ -167,9 +178,12 @@ def scan(docs: DataFrame, forest: list[Tree] | None = None, text_col: str = "tex
     forest = default_forest(docs.sparkSession) if forest is None else forest
     text = field(text_col)
     found = F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    some = wrapped(docs).withColumn("_values", found)
-    parts = F.when(F.col("_values").isNotNull(), F.split(text, CANDIDATE, -1))
-    some = some.withColumn("_parts", parts)
+    some = wrapped(docs).withColumn("_matches", found)
+    # Runs and keys begin with a letter or digit: only matches of an assigned value begin with a sign, which goes to the part before.
+    some = some.withColumn("_signs", F.transform("_matches", lambda m: F.regexp_extract(m, f"^{SIGN}", 0)))
+    some = some.withColumn("_values", F.zip_with("_matches", "_signs", lambda m, s: F.substring(m, F.length(s) + 1, F.length(m))))
+    parts = F.zip_with(F.split(text, CANDIDATE, -1), F.concat("_signs", F.array(F.lit(""))), lambda p, s: F.concat(p, s))
+    some = some.withColumn("_parts", F.when(F.col("_values").isNotNull(), parts))
     each = F.transform(
         "_values",
         lambda v, i: F.struct(

@@ -28,3 +28,21 @@ def test_very_long_runs_are_read(spark):
     texts = ["x " + "1." * 100000 + "1 y", "secret: " + "token" * 20000 + " y"]
     got = found(spark, texts)
     assert got[0]._redacted == texts[0] and got[1]._candidates <= 1
+
+
+def test_assigned_values_of_any_telling_name(spark):
+    values = [
+        ('password="', "Tr0ub4dor&3", '" x'), ("password: ", "Tr0ub4dor&3", ""), ("password = ", "hunter2xyz", " x"), ("passphrase=", "hunter2xyz", " x"), ("api_key=", "9f8e7d6c5b4a", ""),
+        ('client_secret="', "abcDEFghiJKL", '"'), ('api_key="', "abcdefghijklmnopqrstuvwxyzABCDEF", '"'), ("Authorization: Bearer ", "1beb58b8af68854f0e01b4ad40cdbb6a", " x"),
+        ("token" + " " * 40 + "=" + " " * 40, "9f8e7d6c5b4a", " x"), ('{"password": "', "Tr0ub4dor&3", '"}'), ('see my_app2_production_token="', "9f8e7d6c5b4a", '"'),
+    ]
+    got = found(spark, ["".join(x) for x in values])
+    for i, (before, value, after) in enumerate(values):
+        assert [(f.start, f.value) for f in got[i]._findings] == [(len(before), value)], (before, got[i])
+        assert got[i]._redacted == f"{before}[SECRET]{after}"
+
+
+def test_words_after_a_telling_name_stay(spark):
+    texts = ["token: station is here", "the secret: another thing", "bearer a" + " " * 200000 + "b", "password = testing"]
+    got = found(spark, texts)
+    assert [got[i]._redacted for i in range(len(texts))] == texts
