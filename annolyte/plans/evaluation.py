@@ -72,7 +72,7 @@ def _tracks(spark, sf_dir):
     v, f = F.floor(F.col("case_id") / 320).alias("video_id"), (F.floor(F.col("case_id") / 32) % 10).alias("frame")
 
     def side(df, key, n):
-        g = df.where(f"{key} <= 4").groupBy(v, f, F.col(key).alias("id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        g = df.groupBy(v, f, F.col(key).alias("id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
         return g.select("video_id", "frame", F.lit(n).alias("side"), "id", corners().alias("box"))
 
     return side(shapes(spark, sf_dir), "line", 0).unionByName(side(preds(spark, sf_dir), "pred_id", 1))
@@ -104,7 +104,7 @@ def _side_sql(key: str, rows: str) -> str:
         SELECT video_id, count(*) FILTER (WHERE side = 1) AS dets, count(*) FILTER (WHERE side = 0) AS gt_dets, count(DISTINCT id) FILTER (WHERE side = 1) AS ids, count(DISTINCT id) FILTER (WHERE side = 0) AS gt_ids, count(DISTINCT frame) AS frames FROM u GROUP BY video_id""",
 )
 def _(spark, sf_dir):
-    t, d = _tracks(spark, sf_dir), F.col("side") == 1
+    t, d = _tracks(spark, sf_dir).where("id <= 4"), F.col("side") == 1
     return t.groupBy("video_id").agg(
         F.count_if(d).alias("dets"), F.count_if(~d).alias("gt_dets"), F.count_distinct(F.when(d, F.col("id"))).alias("ids"), F.count_distinct(F.when(~d, F.col("id"))).alias("gt_ids"), F.count_distinct("frame").alias("frames")
     )
