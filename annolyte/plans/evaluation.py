@@ -171,8 +171,8 @@ def _(spark, sf_dir):
 
 @register("ga_binpack")
 def _(spark, sf_dir):
-    """The genetic search, with a small budget."""
-    return packed(partitions(_regions(spark, sf_dir)), True, population=10, generations=4)
+    """The genetic search, with its full budget of 50 x 20."""
+    return packed(partitions(_regions(spark, sf_dir)), True)
 
 
 @register("pack_fitness")

@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from annolyte.operators import kernels as K
 from annolyte.plans import evaluation, registry, video_queries
 from annolyte.plans.virtual import preds, shapes
 
@@ -59,3 +60,20 @@ def test_track_nms_judges_every_track(spark, small):
         if all(iou(boxes[i], boxes[k]) <= 0.5 for k in kept):
             kept.append(i)
     assert sorted(r.pred_id for r in registry.QUERIES["track_nms"](spark, small).collect()) == sorted(kept) and max(kept) > 4
+
+
+def test_genetic_packing_has_its_full_budget(spark, small, monkeypatch):
+    """The query asks for no smaller search than the kernel's own: 50 x 20."""
+    asked = {}
+    monkeypatch.setattr(evaluation, "packed", lambda parts, genetic, size=1008, **kw: asked.update(kw, genetic=genetic))
+    registry.QUERIES["ga_binpack"](spark, small)
+    made = K.Genetic({0: (10, 10)}, 1008, 1008, **{k: v for k, v in asked.items() if k != "genetic"})
+    assert asked["genetic"] and (made.population, made.generations) == (50, 20)
+
+
+def test_genetic_packing_is_the_kernels_search(spark, small):
+    want = {}
+    for r in evaluation.partitions(evaluation._regions(spark, small)).orderBy("partition_id").collect():
+        want.setdefault(r.case_id, {})[r.partition_id] = (r.x1 - r.x0, r.y1 - r.y0)
+    want = {c: K.Genetic(sizes, 1008, 1008).run()[1] for c, sizes in want.items()}
+    assert {r.case_id: r.fitness for r in registry.QUERIES["ga_binpack"](spark, small).collect()} == want
