@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 
 def by_group(rows: DataFrame, by: list[str], order: list, kernel: Callable[[tuple, dict[str, list]], list[tuple]], schema: str) -> DataFrame:
     """kernel(key, columns) gets a group's rows in order, as lists, and returns rows of schema.
@@ -49,4 +51,5 @@ def by_group(rows: DataFrame, by: list[str], order: list, kernel: Callable[[tupl
         if done:
             yield flush()
 
+    ship(rows.sparkSession)
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
