@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: ASCII white space, [\x20\x09-\x0D]: fixed value.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
+    """The folder in spark.checkpoint.dir, or else the context's checkpoint folder, which driver and executors share.
 
-    Where a session has none (local mode, tests), a folder below /tmp/checkpoints.
+    Where a session has neither, a folder below /tmp/checkpoints in local mode; on a cluster that is an error, as executors
+    can't see each other's disks.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{os.getpid()}").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_dir.get() if set_dir.isDefined() else None
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file:///tmp/checkpoints/{os.getpid()}"
+    return named.rstrip("/")
+
+
+def lean(run):
+    """A function for mapInArrow that gives freed memory back at its end: workers are reused, and share an executor with the JVM."""
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return leaner
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +95,12 @@ def may_be_in(ids: DataFrame, name: str, key: Column, bits: int = FILTER_BITS) -
     return held(*_places(key, bits))
 
 
+def mapped(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow, lean, with this package shipped to workers that lack it."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(lean(run), schema)
+
+
 def parts_of(batches, rows: int):
     """Arrow batches in smaller parts, so that a worker holds few texts as Python objects at once."""
     for batch in batches:
@@ -72,6 +108,20 @@ def parts_of(batches, rows: int):
             yield batch.slice(at, rows)
 
 
+def parts_by_size(batches, column: int, size: int):
+    """Arrow batches in parts of about size bytes of a column of strings, or of one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def without_spaces(text: Column) -> Column:
     """text without ASCII white space; null counts as empty."""
     text = F.coalesce(text, F.lit(""))

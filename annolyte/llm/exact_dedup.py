@@ -4,7 +4,7 @@ A Misra-Gries sketch (the frequent-items sketch behind `approx_top_k`, whose cou
 map-side in bounded memory) names the most frequent digests. Their groups are counted exactly
 with partial aggregation, and the verified winners, at most `HEAVY`, are broadcast: rows with a
 frequent digest get their group without a shuffle. All other rows take an ordinary shuffle by
-digest. Since at most HEAVY digests can hold more than 1/HEAVY of the rows each and the sketch
+digest, after partial counts. Since at most HEAVY digests can hold more than 1/HEAVY of the rows each and the sketch
 finds those, no shuffled group is larger than about that share.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialize, without_spaces
 
@@ -57,12 +56,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "frequent",
     )
     hot = keys.join(F.broadcast(winners), "_digest")
-    by = Window.partitionBy("_digest")
-    cold = (
-        keys.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti")
-        .withColumns({"_size": F.count("*").over(by), "_keep": F.min(_best()).over(by)})
-        .select(*hot.columns)
-    )
+    cold = keys.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti")
+    # Groups are counted map-side first; only those of several rows are joined back, by a join whose large partitions can be split.
+    groups = cold.groupBy("_digest").agg(F.count("*").alias("_size"), F.min(_best()).alias("_keep")).where("_size > 1")
+    cold = cold.join(groups, "_digest", "left").withColumns({"_size": F.coalesce("_size", F.lit(1)), "_keep": F.coalesce("_keep", _best())}).select(*hot.columns)
     return hot.unionByName(cold).select(
         F.col("_id").alias(id_col),
         F.col("_keep.id").alias("keep_id"),

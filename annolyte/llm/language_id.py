@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_of
+from .common import mapped, materialize, parts_of
 
 #: Labelled texts that trigrams are counted in at most, those of least hash.
 SAMPLE = 2000
@@ -28,9 +28,22 @@ MOST, SHARE = 400, 0.25
 #: Rows that a parent's distribution counts for in its child's.
 STRENGTH = 20.0
 
+#: A host's domain: its last two labels, or three where the last two are a registry's. The registries' labels are fixed values.
+DOMAIN = r"((?:[^.]+\.)?(?:com?|org|net|ac|gov|edu|gob|asso)\.[a-z]{2}|[^.]+\.[^.]+|[^.]+)$"
 _SCRIPT = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+#: Three-letter codes (ISO 639-2, B and T) of languages that have a two-letter one: fixed values, for the languages of most pages.
+TWO_LETTERS = dict(
+    x.split(":")
+    for x in (
+        "afr:af alb:sq sqi:sq amh:am ara:ar arm:hy hye:hy aze:az baq:eu eus:eu bel:be ben:bn bos:bs bul:bg bur:my mya:my cat:ca chi:zh zho:zh cze:cs ces:cs dan:da dut:nl nld:nl "
+        "eng:en epo:eo est:et fin:fi fre:fr fra:fr geo:ka kat:ka ger:de deu:de gle:ga glg:gl gre:el ell:el guj:gu hau:ha heb:he hin:hi hrv:hr hun:hu ice:is isl:is ind:id ita:it "
+        "jpn:ja jav:jv kan:kn kaz:kk khm:km kor:ko kur:ku lao:lo lat:la lav:lv lit:lt ltz:lb mac:mk mkd:mk mal:ml mar:mr may:ms msa:ms mlt:mt mon:mn nep:ne nor:no nob:nb nno:nn "
+        "pan:pa per:fa fas:fa pol:pl por:pt pus:ps rum:ro ron:ro rus:ru sin:si slo:sk slk:sk slv:sl som:so spa:es srp:sr swa:sw swe:sv tam:ta tel:te tgl:tl tha:th tur:tr ukr:uk "
+        "urd:ur uzb:uz vie:vi wel:cy cym:cy xho:xh yid:yi yor:yo zul:zu"
+    ).split()
+)
 
 
 def visible(page: str) -> str:
@@ -61,11 +74,9 @@ def cells(text: str) -> np.ndarray:
 class TrigramModel:
     """Log-probabilities of trigrams by language."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.langs = sorted({lang for lang, _ in rows})
-        counts = np.full((len(self.langs), CELLS), SMOOTH)
-        for lang, text in rows:
-            counts[self.langs.index(lang)] += np.bincount(cells(text), minlength=CELLS)
+    def __init__(self, counted: dict[str, np.ndarray]):
+        self.langs = sorted(counted)
+        counts = np.array([counted[x] + SMOOTH for x in self.langs]).reshape(len(self.langs), CELLS)
         self.table = np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
         if self.langs:
             self.table -= self.table.mean(1, keepdims=True)
@@ -86,8 +97,27 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     """Counts trigrams of the `sample` labelled rows of least hash."""
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     ids = named.select(id_col).distinct().orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample)
-    rows = named.join(F.broadcast(ids), id_col).select(lang_col, text_col).collect()
-    return TrigramModel([(r[0], r[1]) for r in rows])
+    chosen = named.join(F.broadcast(ids), id_col).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums over a task: a row for each language, whatever the texts' length."""
+        sums: dict[str, np.ndarray] = {}
+        for part in parts_of(batches, 64):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found = sums.setdefault(lang, np.zeros(CELLS, np.int64))
+                found += np.bincount(cells(text), minlength=CELLS)
+        for lang, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "cell", "n"])
+
+    # Added up before they come to the driver: CELLS rows a language at most.
+    rows = mapped(chosen, run, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    seen = [r[0] for r in chosen.select("lang").distinct().collect()]
+    found = rows.toArrow()
+    counted = {lang: np.zeros(CELLS) for lang in seen}
+    for lang, cell, n in zip(*(found[c].to_pylist() for c in ("lang", "cell", "n")), strict=True):
+        counted[lang][cell] += n
+    return TrigramModel(counted)
 
 
 def evidence(rows: DataFrame, model: TrigramModel) -> DataFrame:
@@ -102,19 +132,20 @@ def evidence(rows: DataFrame, model: TrigramModel) -> DataFrame:
             for text, markup in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 text = text or ""
                 m = _DECLARED.search(text) if markup else None
-                declared.append(m[1].lower()[:2] if m else None)
+                code = m[1].lower() if m else None
+                declared.append(TWO_LETTERS.get(code, code))
                 ll.append(model.loglik(visible(text) if markup else text))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(4), batch.column(5), pa.array(declared, pa.string()), pa.array([x.tolist() for x in ll], pa.list_(pa.float64()))],
                 ["kind", "id", "url", "host", "declared", "ll"],
             )
 
-    made = rows.select("kind", "id", "text", "markup", "url", "host").mapInArrow(run, "kind string, id bigint, url string, host string, declared string, ll array<double>")
+    made = mapped(rows.select("kind", "id", "text", "markup", "url", "host"), run, "kind string, id bigint, url string, host string, declared string, ll array<double>")
     host = F.coalesce("host", F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     top = F.regexp_extract("_host", r"\.([a-z]{2})$", 1)
     folder = F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://[^/]+/([A-Za-z]{2})(?:[/?#-]|$)", 1))
     suffix = F.when(top != "", top).when(folder != "", folder)
-    return made.withColumn("_host", host).select("kind", "id", F.col("_host").alias("host"), F.regexp_extract("_host", r"([^.]+(?:\.[^.]+)?)$", 1).alias("domain"), "declared", suffix.alias("suffix"), "ll")
+    return made.withColumn("_host", host).select("kind", "id", F.col("_host").alias("host"), F.regexp_extract("_host", DOMAIN, 1).alias("domain"), "declared", suffix.alias("suffix"), "ll")
 
 
 def _softmax(values: list[Column]) -> list[Column]:
@@ -144,7 +175,7 @@ def fuse(found: DataFrame, langs: list[str]) -> DataFrame:
         own = F.greatest(F.col(f"h{i}") - F.col(p[i]), F.lit(0.0))  # without the row itself
         logs.append(F.log((own + STRENGTH * F.col(f"d{i}")) / (F.col("hn") - 1 + STRENGTH)))
     for what in ("declared", "suffix"):
-        # Two letters at most: 676 values at most.
+        # Codes of two or three letters: 18,252 values at most. A value never seen counts as one of 676 of half a row each.
         seen = found.where(F.col(what).isNotNull()).groupBy(what).agg(*[F.sum(x).alias(f"{what}_{x}") for x in p])
         each = found.where(F.col(what).isNotNull()).agg(*sums).first()
         out = out.join(F.broadcast(seen), what, "left")

@@ -18,9 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import mapped
 
 #: Units (words) in a bin; documents in a shard on average.
 CAPACITY, SHARD = 4096, 4096
+#: A shard of more than this many times its average size, which only repeated ids make, is packed in parts.
+MOST = 8
 #: Bits of the bitmaps. Two sources or clusters that share a bit just never share a bin.
 SOURCE_BITS, CLUSTER_BITS = 256, 4096
 
@@ -69,13 +74,16 @@ def pack(docs: DataFrame, id_col: str, size_col: str, source_col: str, cluster_c
         F.when(F.col(cluster_col).isNotNull(), F.pmod(F.xxhash64(F.col(cluster_col), F.lit(1)), F.lit(CLUSTER_BITS))).cast("int").alias("_cluster"),
     )
     shards = max(1, math.ceil(docs.count() / shard))
-    dealt = narrow.withColumn("_shard", F.pmod(F.xxhash64(F.col("_id"), F.lit(7)), F.lit(shards)).cast("int"))
+    # Null ids are dealt out by their place in the input.
+    key = F.when(F.col("_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col("_id"), F.lit(7)))
+    dealt = narrow.withColumn("_shard", F.pmod(key, F.lit(shards)).cast("int"))
     parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
-    kind = dict(narrow.dtypes)["_id"]
+    kind, arrow = dict(narrow.dtypes)["_id"], to_arrow_type(narrow.schema["_id"].dataType)
 
-    def one(at: int, rows: dict[str, list]) -> pa.RecordBatch:
+    def one(at: int, rows: dict[str, list], full: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of a shard, or of a part of it, in bins numbered from `full`; and the next free number."""
         ids, rests, sources, clusters = rows["_id"], [], [], []
-        full = 0
+        base = full
         out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "bin")}
         owner = []
         for i, size in enumerate(rows["_size"]):
@@ -98,41 +106,39 @@ def pack(docs: DataFrame, id_col: str, size_col: str, source_col: str, cluster_c
             out["start"].append(n * capacity)
             out["length"].append(size)
             out["bin"].append(full + b)
-        fill = np.bincount(np.array(out["bin"], np.int64), np.array(out["length"], np.float64)).astype(np.int64) if out["bin"] else np.zeros(0, np.int64)
-        n = len(out["bin"])
+        bins = np.array(out["bin"], np.int64)
+        fill = np.bincount(bins - base, np.array(out["length"], np.float64)).astype(np.int64)
+        n = len(bins)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(out["id"], id_type(kind)),
+                pa.array(out["id"], arrow),
                 pa.array(out["piece"], pa.int64()),
                 pa.array(out["start"], pa.int64()),
                 pa.array(out["length"], pa.int64()),
                 pa.array([at] * n, pa.int64()),
-                pa.array(out["bin"], pa.int64()),
-                pa.array(fill[out["bin"]] if n else [], pa.int64()),
+                pa.array(bins),
+                pa.array(fill[bins - base]),
             ],
             [id_col, "piece", "start", "length", "shard", "bin", "fill"],
-        )
+        ), int(bins.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, {}
+        at, rows, full = None, {}, 0
         names = ("_id", "_size", "_source", "_cluster")
         for batch in batches:
             for shard_of, *values in zip(batch.column(4).to_pylist(), *(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if shard_of != at:
-                    if rows:
-                        yield one(at, rows)
-                    at, rows = shard_of, {n: [] for n in names}
+                    if rows and rows["_id"]:
+                        yield one(at, rows, full)[0]
+                    at, rows, full = shard_of, {n: [] for n in names}, 0
+                elif len(rows["_id"]) >= MOST * shard:  # rows that repeat an id very often: packed in parts
+                    made, full = one(at, rows, full)
+                    yield made
+                    rows = {n: [] for n in names}
                 for n, v in zip(names, values, strict=True):
                     rows[n].append(v)
-        if rows:
-            yield one(at, rows)
-
-    return (
-        dealt.repartition(parts, "_shard")
-        .sortWithinPartitions("_shard", F.desc("_size"), F.col("_id").asc_nulls_first(), "_source", "_cluster")
-        .mapInArrow(run, f"`{id_col}` {kind}, piece bigint, start bigint, length bigint, shard bigint, bin bigint, fill bigint")
-    )
-
+        if rows and rows["_id"]:
+            yield one(at, rows, full)[0]
 
-def id_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    ready = dealt.repartition(parts, "_shard").sortWithinPartitions("_shard", F.desc("_size"), F.col("_id").asc_nulls_first(), "_source", "_cluster")
+    return mapped(ready, run, f"`{id_col}` {kind}, piece bigint, start bigint, length bigint, shard bigint, bin bigint, fill bigint")

@@ -30,8 +30,20 @@ ASSIGNED = rf"(?=[\"'\s=:])(?<=[A-Za-z])(?=[\"']?\s*+[=:]){NAMED}{SIGN}[^\s\"',;
 CANDIDATE = rf"{ASSIGNED}|{KEYED}|(?<![A-Za-z0-9_+/.@\-])(?=[A-Za-z_+/.\-]*[0-9]){RUN}(?:(?<!(?i:{TELLING.removeprefix('(?i)')}))={{1,2}})?(?![A-Za-z0-9@])"
 #: Prefixes of keys that name their issuer: fixed values.
 ISSUED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|ya29\.|eyJ|SG\.|npm_|pypi-)"
-#: Letter groups that words of several languages are made of: the dictionary of coverage, fixed values.
-PIECES = "the|ing|tion|ment|and|ent|ion|her|for|tha|ter|ere|con|res|ver|all|ons|nce|men|ith|ted|ers|pro|wit|are|ess|not|ive|was|ect|rea|com|eve|per|int|est|sta|cti|ica|ist|ear|ain|one|our|iti|rat|der|ich|sch|ein|und|cht|gen|ung|que|les|des|eur|ado|que|los|ando|page|file|path|name|user|data|test|image|index|main|home|usr|lib|bin|www|html|json|log"
+#: The dictionary of coverage: common words of the languages and of code, fixed values.
+DICTIONARY = (
+    "about access account action address after again also analysis and another application archive article back base because been before being between board body book branch browser build business but button "
+    "cache call case change chapter check child city class client code come comment common company complete config content control count country create data date default delete description design detail "
+    "device die directory display document does download each edit email end english error even event every example export family field file find first folder form format found from function general "
+    "get group guide have header health help here high history home house html image import index info input install into item java json kind language last level library light like line link list little load "
+    "local log long main make manager many map market media member memory menu message method model module more most name network never new news next not note number object office only open option "
+    "other over page parent part password path people photo place plan point post print private process product program project public question random read record release report request resource result "
+    "return right root sample school script search secret section see server service session setting short should show side simple site size some source start state still string style such system "
+    "table tag test text than that the their them then there these they thing this time title token total tree type under unit update upload use user value version video view water web week what when "
+    "where which while white will window with word work world would write year und der das nicht eine oder auch werden les des une pour dans avec sont que los las para como más pero ción"
+).split()
+#: Longest first, as the pattern takes the first that fits.
+COVERING = "|".join(sorted({w for w in DICTIONARY if len(w) > 2}, key=lambda w: (-len(w), w)))
 
 FEATURES = ("length", "transitions", "coverage", "path", "telling", "harmless", "issued", "digits", "upper", "hex", "only_digits", "distinct")
 #: Size of the forest, and of the labelled findings it is fitted to.
@@ -47,7 +59,7 @@ def feature_columns(value: Column, before: Column, after: Column) -> list[Column
     return [
         n,
         F.regexp_count(value, F.lit(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[a-z])")) / n,
-        (n - F.length(F.regexp_replace(low, f"({PIECES})", ""))) / n,
+        (n - F.length(F.regexp_replace(low, f"({COVERING})", ""))) / n,
         flag(value.rlike(r"/.*/|\.[a-z]{2,4}$|^\d+\.\d") | before.rlike(r"[/\\]$") | after.rlike(r"^[/\\]|^\.[a-z]{2,4}\b")),
         flag(before.rlike(TELLING + r"\W*$") | before.rlike(TELLING + r"\s+\S{0,12}\s*$")),
         flag(before.rlike(HARMLESS + r"\W*\w{0,3}\W*$")),
@@ -66,8 +78,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
     upper = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(k))
-    pieces = [p for p in PIECES.split("|") if p.isalpha()]
-    word = lambda: "".join(r.choice(pieces) for _ in range(r.randint(1, 4)))
+    pieces = [w for w in DICTIONARY if w.isascii()]
+    # Words that the dictionary holds, and pronounceable ones that it doesn't.
+    spoken = lambda: "".join(r.choice("bcdfghklmnprstvw") + r.choice(["a", "e", "i", "o", "u", "ei", "ou", "er", "an", "in"]) for _ in range(r.randint(2, 5)))
+    word = lambda: r.choice([lambda: r.choice(pieces), lambda: r.choice(pieces) + r.choice(pieces), spoken])()
     prose = lambda: " ".join(word() for _ in range(r.randint(1, 5))) + " "
     names = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "client_secret", "SECRET_KEY", "Authorization: Bearer"]
     quiet = ["commit", "sha256:", "sha1", "md5", "checksum", "digest", "uuid", "etag", "revision", "order", "invoice", "card", "build", "hash"]
@@ -193,10 +207,14 @@ def scan(docs: DataFrame, forest: list[Tree] | None = None, text_col: str = "tex
     )
     some = some.withColumn("_each", each)
     some = some.withColumn("_scored", F.transform("_each", lambda x: F.struct(x["value"].alias("value"), forest_score(forest, x["features"]).alias("score"))))
+    # Where candidates start: lengths are added up within blocks of 256 candidates, and the blocks before are added once each.
+    some = some.withColumn("_steps", F.zip_with(F.slice("_parts", 1, F.size("_values")), "_values", lambda p, v: F.length(p) + F.length(v)))
+    sums = lambda first, n: F.aggregate(F.slice("_steps", first, n), F.lit(0), lambda a, x: a + x)
+    some = some.withColumn("_bases", F.transform(F.sequence(F.lit(0), F.floor(F.size("_values") / 256).cast("int")), lambda b: sums(F.lit(1), b * 256)))
     starts = F.transform(
         "_scored",
         lambda x, i: F.struct(
-            (F.aggregate(F.slice("_parts", 1, i + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice("_values", 1, i), F.lit(0), lambda a, p: a + F.length(p))).alias("start"),
+            (F.element_at("_bases", F.floor(i / 256).cast("int") + 1) + sums(F.floor(i / 256).cast("int") * 256 + 1, i % 256) + F.length(F.element_at("_parts", i + 1))).alias("start"),
             F.length(x["value"]).alias("length"),
             x["value"].alias("value"),
             x["score"].alias("score"),

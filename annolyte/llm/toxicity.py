@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of
+from .common import mapped, parts_of
 
 #: Labelled rows that the model is fitted to at most, those of least hash; rows with a word at least to keep it.
-SAMPLE, MIN_ROWS = 3000, 2
+SAMPLE, MIN_ROWS = 6000, 2
 THRESHOLD = 0.7
 #: A word's log ratio counts half when it is in as many labelled rows.
 TRUST = 10.0
@@ -90,6 +90,21 @@ class _Rows:
         return np.bincount(self.flat, g[self.row] * self.x, size)
 
 
+def loss(base: _Rows, y: np.ndarray, weight: np.ndarray, left: _Rows, right: _Rows, w: np.ndarray, b: float, penalty: float, l2: float) -> tuple[float, np.ndarray, float]:
+    """The weighted log loss, the mean squared change of the logit between swapped rows and the size of weights; their gradient by w and b."""
+    z = np.clip(base.dot(w) + b, -35, 35)
+    ridge = l2 / max(1, len(y)) ** 0.5
+    value = float((weight * (np.log1p(np.exp(z)) - y * z)).sum()) + ridge * float(w @ w) / 2
+    g = weight * (1 / (1 + np.exp(-z)) - y)
+    grad = base.back(g, len(w)) + ridge * w
+    if left.n:
+        change = left.dot(w) - right.dot(w)
+        value += penalty * float((change**2).mean())
+        d = 2 * penalty * change / left.n
+        grad += left.back(d, len(w)) - right.back(d, len(w))
+    return value, grad, float(g.sum())
+
+
 def fit(labelled: Iterable[tuple[set[str], int]], penalty: float = 1.0, l2: float = 0.02, steps: int = 250, rate: float = 0.05) -> Model:
     """The model for (words, label) rows, which are read once. Without both labels it gives every text the share of label 1."""
     ids: dict[str, int] = {}
@@ -127,13 +142,7 @@ def fit(labelled: Iterable[tuple[set[str], int]], penalty: float = 1.0, l2: floa
     size, w, b = len(vocab), np.zeros(len(vocab)), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = base.dot(w) + b
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        grad = base.back(g, size) + l2 * w / len(y) ** 0.5
-        if pairs:
-            d = 2 * penalty * (left.dot(w) - right.dot(w)) / len(pairs)
-            grad += left.back(d, size) - right.back(d, size)
-        gb = float(g.sum())
+        _, grad, gb = loss(base, y, weight, left, right, w, b, penalty, l2)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         k, kv = 1 - 0.9**step, 1 - 0.999**step
@@ -160,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [sorted(words(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(found, pa.list_(pa.string()))], ["id", "label", "words"])
 
-    rows = chosen.select(F.col(id_col).cast("string"), F.col("_label").cast("bigint"), "_text").mapInArrow(run, "id string, label bigint, words array<string>").toArrow()
+    rows = mapped(chosen.select(F.col(id_col).cast("string"), F.col("_label").cast("bigint"), "_text"), run, "id string, label bigint, words array<string>").toArrow()
     order = sorted(zip(rows["id"].to_pylist(), rows["label"].to_pylist(), range(rows.num_rows), strict=True))
     lists = rows["words"]
     return fit((set(lists[i].as_py()), int(label > 0)) for _, label, i in order)
@@ -175,7 +184,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([weights.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], [id_col, "score"])
 
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double")
 
 
 def keep_nontoxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -188,7 +197,7 @@ def keep_nontoxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
             keep = pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

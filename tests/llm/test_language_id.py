@@ -2,7 +2,10 @@
 
 import random
 
-from annolyte.llm.language_id import TrigramModel, cells, identify, visible
+import numpy as np
+from pyspark.sql import functions as F
+
+from annolyte.llm.language_id import CELLS, DOMAIN, STRENGTH, TrigramModel, cells, fuse, identify, visible
 
 SYL = {"en": ["the", "ing", "th", "er"], "de": ["sch", "ein", "ung", "ich"], "fr": ["eau", "que", "ment", "ou"]}
 
@@ -56,5 +59,48 @@ def test_odd_inputs(spark):
 def test_markup_and_cells():
     assert visible("<p>a<script>b</script>&lt;c</p>").split() == ["a", "<c"]
     assert len(cells("")) == len(cells("ab")) == len(cells("12 34")) == 0
-    m = TrigramModel([("en", "the thing there"), ("de", "schein ung ich")])
+    m = TrigramModel({x: np.bincount(cells(t), minlength=CELLS) for x, t in (("en", "the thing there"), ("de", "schein ung ich"))})
     assert m.loglik("the ther").argmax() == 1 and m.langs == ["de", "en"]
+
+
+def test_fusion_equals_plain_sums(spark):
+    """Posteriors by loops over rows, as the method is described."""
+    r = random.Random(7)
+    langs = ["aa", "bb", "cc"]
+    rows = []
+    for i in range(80):
+        host = r.choice(["x.a.org", "y.a.org", "b.net", ""])
+        rows.append(("k", i, host, {"x.a.org": "a.org", "y.a.org": "a.org"}.get(host, host), r.choice([None, "aa", "fil"]), r.choice([None, "bb"]), [r.gauss(0, 2) for _ in langs]))
+    df = spark.createDataFrame(rows, "kind string, id long, host string, domain string, declared string, suffix string, ll array<double>")
+    got = {x.id: x for x in fuse(df, langs).collect()}
+
+    def softmax(v):
+        e = np.exp(np.array(v) - max(v))
+        return e / e.sum()
+
+    p = {x[1]: softmax(x[6]) for x in rows}
+    total = sum(p.values())
+    world = (total + 1) / (len(rows) + 3)
+    for _, i, host, domain, declared, suffix, ll in rows:
+        mine = [x for x in rows if x[3] == domain]
+        prior = (sum(p[x[1]] for x in mine) + STRENGTH * world) / (len(mine) + STRENGTH)
+        mine = [x for x in rows if x[2] == host]
+        log = np.log((np.maximum(sum(p[x[1]] for x in mine) - p[i], 0) + STRENGTH * prior) / (len(mine) - 1 + STRENGTH)) + np.array(ll)
+        for at, value in ((4, declared), (5, suffix)):
+            if value is not None:
+                seen = sum(p[x[1]] for x in rows if x[at] == value)
+                every = sum(p[x[1]] for x in rows if x[at] is not None)
+                log = log + np.log((seen + 0.5) / (every + 0.5 * 676))
+        post = softmax(log)
+        assert got[i].lang == langs[int(post.argmax())] and abs(got[i].prob - post.max()) < 1e-9
+        assert got[i].text_lang == langs[int(p[i].argmax())]
+
+
+def test_declared_codes_and_domains(spark):
+    d, p, _ = tables(spark)
+    odd = spark.createDataFrame([(500, "https://a.b.co.uk/x", '<html lang="spa"><p>x'), (501, "https://b.co.uk/x", '<html lang="fil"><p>x'), (502, "http://w.x.example/", '<html lang="en-GB"><p>x')], p.schema)
+    rows = {r.id: r for r in identify(d, p.union(odd)).collect() if r.kind == "page"}
+    assert [rows[i].declared for i in (500, 501, 502)] == ["es", "fil", "en"]
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.org", "y.org", "localhost"]
+    made = spark.createDataFrame([(h,) for h in hosts], "h string").select(F.regexp_extract("h", DOMAIN, 1)).collect()
+    assert [r[0] for r in made] == ["b.co.uk", "b.co.uk", "co.uk", "y.org", "y.org", "localhost"]

@@ -1,5 +1,6 @@
 """Toxicity: held-out accuracy, counterfactual pairs, and odd inputs."""
 
+import numpy as np
 import random
 import zlib
 
@@ -67,3 +68,28 @@ def test_split_is_by_crc(spark):
     ids = [r.id for r in spark.range(200).where(held_out("id")).collect()]
     assert ids == [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert spark.range(1).select(F.lit(None).cast("long").alias("id")).where(held_out("id")).count() == 0
+
+
+def test_gradient_equals_differences_of_the_loss():
+    from annolyte.llm.toxicity import _Rows, loss
+
+    r = np.random.default_rng(2)
+    size = 12
+    rows = lambda n: _Rows([np.sort(r.choice(size, r.integers(0, 6), replace=False)) for _ in range(n)], r.random(size) + 0.5)
+    base, left, right = rows(20), rows(7), rows(7)
+    y = (r.random(20) < 0.4).astype(float)
+    weight, w, b = r.random(20), r.normal(size=size), 0.3
+    dense = np.zeros((20, size))
+    np.add.at(dense, (base.row, base.flat), base.x)
+    p = 1 / (1 + np.exp(-(dense @ w + b)))
+    plain = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 0.05 * (w**2).sum() / 2 / 20**0.5
+    value, _, _ = loss(base, y, weight, left, right, w, b, 0.0, 0.05)
+    assert abs(value - plain) < 1e-9
+    value, grad, gb = loss(base, y, weight, left, right, w, b, 0.7, 0.05)
+    at = lambda w, b: loss(base, y, weight, left, right, w, b, 0.7, 0.05)[0]
+    h = 1e-6
+    for i in range(size):
+        e = np.zeros(size)
+        e[i] = h
+        assert abs((at(w + e, b) - at(w - e, b)) / (2 * h) - grad[i]) < 1e-6
+    assert abs((at(w, b + h) - at(w, b - h)) / (2 * h) - gb) < 1e-6
