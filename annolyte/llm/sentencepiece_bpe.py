@@ -4,7 +4,10 @@ Per unit of text (a run of U+2581 with the characters up to the next run; no pie
 border) the longest piece at each position comes from an Aho-Corasick automaton. A piece may
 follow another only if merging both their characters anew gives just the two; where no piece
 fits, the position is marked in a bitfield of failed positions and the last piece is taken
-back for its next shorter one. Runs of U+2581, whose pieces share one score, are merged directly.
+back for its next shorter one. Only in a run of two or more U+2581, whose pieces share one score, is the run itself
+merged directly; the word behind it is encoded by backtracking too, and the border is checked by re-merging.
+
+Decoding joins the pieces of a text's ids; texts with other ids (bytes above 127, unknown, control) go through `decode`.
 """
 
 from __future__ import annotations
@@ -13,12 +16,18 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import mapped, parts_by_size
 
 #: The library's white-space mark: fixed value.
 SPACE = "▁"
 #: Words and pairs of pieces that a worker remembers at most.
 WORDS, PAIRS = 600_000, 400_000
+#: Bytes of texts that are encoded at once; a longer text is alone.
+PART = 1 << 21
 
 
 class BpeModel:
@@ -64,8 +73,14 @@ class BpeModel:
             self.find.add_word(p, len(p))
         self.find.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
+        #: By unit: its ids, and the same as decimals joined by commas.
+        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: What an id adds to a text, where that doesn't depend on its neighbours.
+        plain = [p.replace(SPACE, " ") if p in self.id else None for p in self.pieces]
+        for i, b in self.byte_of.items():
+            if b < 128:
+                plain[i] = chr(b)
+        self.plain = pa.array(plain, pa.string())
 
     def merge(self, text: str) -> list[str]:
         """Merging by score, leftmost first among equals."""
@@ -105,7 +120,7 @@ class BpeModel:
     def split(self, unit: str) -> list[str]:
         """The pieces and unknown characters of one unit."""
         if unit.startswith(SPACE * 2):
-            return self.merge(unit)
+            return self._after_run(unit)
         n = len(unit)
         longest = [0] * (n + 1)
         for end, size in self.find.iter(unit):  # ends ascend, so the longest piece from a start comes last
@@ -140,6 +155,22 @@ class BpeModel:
                 size = self._shorter(unit, pos, size)
         return out
 
+    def _after_run(self, unit: str) -> list[str]:
+        """A run of SPACE, merged, and the word behind it, which may take the run's last character."""
+        word = unit.lstrip(SPACE)
+        run = unit[: len(unit) - len(word)]
+        if not word:
+            return self.merge(run)
+        behind = self.split(SPACE + word)
+        if behind[0] == SPACE:
+            behind = behind[1:]
+        else:
+            run = run[:-1]
+        before = self.merge(run)
+        if self.merge(run + behind[0]) != [*before, behind[0]]:
+            raise ValueError("this model's runs of spaces can't be parted from words")
+        return before + behind
+
     def _shorter(self, unit: str, pos: int, size: int) -> int:
         """The size of the next shorter piece at pos, or 0."""
         for k in range(size - 1, 0, -1):
@@ -182,54 +213,54 @@ class BpeModel:
     def encode(self, text: str) -> list[int]:
         return [i for unit in self._cut(text) for i in self._ids(unit)] if text else []
 
-    def _unit(self, unit: str) -> str:
-        """The ids of a unit as joined decimals; it's put in `odd` if they don't decode to just the unit."""
-        ids = self._ids(unit)
-        back = self._plain(ids)
-        if back != " " + unit[1:]:
-            self.odd[unit] = back
-        return ",".join(map(str, ids))
+    def _known(self, unit: str) -> tuple[tuple[int, ...], str]:
+        """A unit's ids and their decimals; short units are remembered."""
+        ids = tuple(self._ids(unit))
+        found = ids, ",".join(map(str, ids))
+        if len(unit) <= 64:
+            if len(self.words) > WORDS:
+                self.words.clear()
+            self.words[unit] = found
+        return found
 
     def round_trip(self, text: str) -> tuple[str, int, str]:
-        """The ids as decimals joined by commas, their number, and the text that decoding them gives.
-
-        Equal words are encoded and decoded once. A unit's bytes never run on into the next unit, which starts
-        with SPACE, so decoding by units is decoding the whole.
-        """
+        """The ids as decimals joined by commas, their number, and the text that decoding them gives."""
         if not text:
             return "", 0, ""
-        words = text.split(" ")
-        if not self.prefix or SPACE in text or "" in words:
-            ids = self.encode(text)
-            return ",".join(map(str, ids)), len(ids), self.decode(ids)
-        known, odd = self.words, self.odd
-        if len(known) > WORDS:
-            known.clear()
-        got = list(map(known.get, words))
-        if None in got:
-            for i, found in enumerate(got):
-                if found is None:
-                    w = words[i]
-                    got[i] = found = self._unit(SPACE + w)
-                    if len(w) < 64 and SPACE + w not in odd:
-                        known[w] = found
-        ids = ",".join(got)
-        back = text
-        if odd:
-            if any(SPACE + w in odd for w in words):
-                back = "".join([odd.get(SPACE + w, " " + w) for w in words])[1:]
-            odd.clear()
-        return ids, ids.count(",") + 1, back
-
-    def _plain(self, ids: list[int]) -> str:
-        """Decoding within a text, where no prefix is taken off."""
-        if self.byte_of.keys().isdisjoint(ids) and self.unk not in ids:
-            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
-        keep, self.prefix = self.prefix, False
-        try:
-            return self.decode(ids)
-        finally:
-            self.prefix = keep
+        got = [self.words.get(u) or self._known(u) for u in self._cut(text)]
+        ids = [i for g in got for i in g[0]]
+        return ",".join([g[1] for g in got]), len(ids), self.decode(ids)
+
+    def round_trips(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
+        """round_trip of many texts, without nulls, by columns: equal words are encoded once, and all ids looked up at once."""
+        out_ids, counts, out_text = [""] * len(texts), np.zeros(len(texts), np.int64), [""] * len(texts)
+        plain = pc.invert(pc.match_substring_regex(texts, f"^$|^ | $|  |{SPACE}")).to_numpy(zero_copy_only=False) & self.prefix
+        for i in np.flatnonzero(~plain).tolist():
+            out_ids[i], counts[i], out_text[i] = self.round_trip(texts[i].as_py())
+        rows = np.flatnonzero(plain)
+        if not len(rows):
+            return out_ids, counts, out_text
+        words = pc.split_pattern(texts.take(pa.array(rows)), " ")
+        at = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        got = [self.words.get(u) or self._known(u) for u in map(SPACE.__add__, coded.dictionary.to_pylist())]
+        which = coded.indices
+        sizes = np.fromiter((len(g[0]) for g in got), np.int32, len(got))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array([i for g in got for i in g[0]], pa.int32()))
+        ids = lists.take(which).flatten()
+        ends = np.r_[0, np.cumsum(sizes[which.to_numpy()])][at].astype(np.int32)
+        decimals = pc.binary_join(pa.ListArray.from_arrays(words.offsets, pa.array([g[1] for g in got]).take(which)), ",").to_pylist()
+        # A text with any other id joins to null.
+        decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.plain.take(ids)), "").to_pylist()
+        for n, i in enumerate(rows.tolist()):
+            out_ids[i], counts[i] = decimals[n], ends[n + 1] - ends[n]
+            text = decoded[n]
+            if text is None:
+                text = self.decode(ids[int(ends[n]) : int(ends[n + 1])].to_pylist())
+            elif text[:1] == " ":  # the dummy prefix
+                text = text[1:]
+            out_text[i] = text
+        return out_ids, counts, out_text
 
     def decode(self, ids: Iterator[int]) -> str:
         """As the library decodes ids: byte pieces form UTF-8, bad bytes U+FFFD; the dummy prefix goes."""
@@ -292,23 +323,14 @@ def encode_batches(path: str, key: str, text: str, digest: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys, texts = part.column(0), part.column(1).to_pylist()
-                if not digest:
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([m.encode(t or "") for t in texts], pa.list_(pa.int32()))], [key, "ids"])
-                    continue
-                made = [m.round_trip(t or "") for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys,
-                        pa.array([n for _, n, _ in made], pa.int64()),
-                        pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _, _ in made]),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for _, _, x in made]),
-                    ],
-                    [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for part in parts_by_size(batches, 1, PART):
+            keys, texts = part.column(0), part.column(1).fill_null("")
+            if not digest:
+                yield pa.RecordBatch.from_arrays([keys, pa.array([m.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))], [key, "ids"])
+                continue
+            ids, counts, back = m.round_trips(texts)
+            hexed = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in made]) for made in (ids, back)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(counts), *hexed], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -322,7 +344,7 @@ def encode_texts(docs, path: str, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql import functions as F
 
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(encode_batches(path, id_col, text_col, False), f"`{id_col}` {kind}, ids array<int>")
+    return mapped(docs.select(id_col, text_col), encode_batches(path, id_col, text_col, False), f"`{id_col}` {kind}, ids array<int>")
 
 
 def encoding_digests(docs, path: str, id_col: str = "doc_id", text_col: str = "text"):
@@ -330,6 +352,4 @@ def encoding_digests(docs, path: str, id_col: str = "doc_id", text_col: str = "t
     from pyspark.sql import functions as F
 
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(
-        encode_batches(path, id_col, text_col, True), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+    return mapped(docs.select(id_col, text_col), encode_batches(path, id_col, text_col, True), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

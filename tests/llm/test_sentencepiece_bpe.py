@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -29,6 +30,17 @@ def test_texts(both):
         assert mine.round_trip(t) == (",".join(map(str, ids)), len(ids), lib.decode(ids))
 
 
+def test_columns_equal_single_texts(both):
+    mine, lib = both
+    r = random.Random(6)
+    parts = ["the ", "ing ", "of", " ", "  ", "▁", "\n", "é", "中", "\x00", "word ", "<s> "]
+    texts = ["", " ", "a", "a ", " a", "x" * 300, *["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(600)]]
+    for some in (texts, texts[:1], texts[2:3], []):
+        ids, counts, back = mine.round_trips(pa.array(some, pa.string()))
+        assert ids == [",".join(map(str, lib.encode(t))) for t in some]
+        assert counts.tolist() == [len(lib.encode(t)) for t in some] and back == [lib.decode(lib.encode(t)) for t in some]
+
+
 def test_any_ids_decode(both):
     mine, lib = both
     r = random.Random(4)
@@ -43,6 +55,18 @@ def test_long_units(both):
         assert mine.encode(t) == lib.encode(t)
 
 
+def test_words_after_runs(both):
+    """Backtracking behind runs of spaces, and text that runs on behind them."""
+    mine, lib = both
+    r = random.Random(9)
+    pieces = [lib.id_to_piece(i) for i in range(300, 32000, 7)]
+    for _ in range(4000):
+        t = "".join(r.choice([" " * r.randint(1, 40), "▁" * r.randint(1, 20), "", ""]) + r.choice(["", r.choice(pieces), "é", "中", "\n", "0"]) + r.choice(pieces).replace("▁", "") for _ in range(r.randint(1, 6)))
+        ids = lib.encode(t)
+        assert mine.encode(t) == ids
+        assert mine.round_trip(t) == (",".join(map(str, ids)), len(ids), lib.decode(ids))
+
+
 def test_frames(spark, both):
     _, lib = both
     rows = [(1, "Hello  world", 5), (2, None, 5), (3, "", 5), (None, "x", 5), (1, "Hello  world", 5)]
