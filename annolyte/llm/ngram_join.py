@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, may_be_in
+from .common import mapped, materialize, may_be_in, parts_of
 from .components import components
 from .shingles import Shingler, set_key
 from .signature_tree import folded, link, one_bitmap, traverse
@@ -39,19 +39,23 @@ SIZE = 5
 COMMON, LEAST = 1 / 2000, 8
 #: Sets in a block; documents that a large forest shares among its blocks. A stand above STAND is a forest unpruned.
 BLOCK, CENTRES, STAND = 2048, 4, 8192
+#: Shingles of a block for each set that it may hold; bytes of bitmaps in a stand that is pruned.
+SHINGLES, STAND_BYTES = 1024, 1 << 25
 #: Documents of one task with one token that are tied within the task.
 CROWD = 64
-#: Documents that a task gathers before it sends their tokens; buckets of tokens for each shuffle partition.
-GATHER, BUCKETS = 6144, 8
+#: Documents, and their shingles, that a task gathers before it sends their tokens; buckets of tokens for each shuffle partition.
+GATHER, GATHERED, BUCKETS = 4096, 1_000_000, 8
+#: Tokens of a bucket that are held before those of crowded ones are tied; bytes and documents in a sent row; bytes in a batch.
+HELD, ROW_BYTES, ROW_DOCS, BATCH_BYTES = 1_000_000, 1 << 18, 256, 1 << 21
 
 _PAYLOAD = "bucket int, kind int, payload binary"
-DOC, COPY, TOKEN, EDGE, LOCAL, MAP = 0, 1, 2, 3, 4, 5
+DOC, COPY, TOKEN, EDGE, LOCAL, MAP, LATE = 0, 1, 2, 3, 4, 5, 6
 #: The low bits of a sent token hold its set's size class: classes of like sets differ by 1 at most.
 CLASS_BITS = np.uint64(63)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingle sets, `GATHER` documents at once."""
+    """Ids and shingle sets, `GATHER` documents or `GATHERED` shingles at once."""
     make = Shingler(size)
     ids: list = []
     sets: list[np.ndarray] = []
@@ -64,9 +68,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
                 ids.append(key)
                 sets.append(s)
                 held += len(s)
-            if len(ids) >= GATHER or held >= 600 * GATHER:
-                yield ids, sets
-                ids, sets, held = [], [], 0
+                if len(ids) >= GATHER or held >= GATHERED:
+                    yield ids, sets
+                    ids, sets, held = [], [], 0
     if ids:
         yield ids, sets
 
@@ -89,7 +93,7 @@ def common_tokens(docs: DataFrame, n_docs: int, size: int = SIZE) -> np.ndarray:
             keep = counts >= max(3, int(COMMON * len(sets)))
             yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["token", "n"])
 
-    found = docs.select("_id", "_text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    found = mapped(docs.select("_id", "_text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     rows = found.where(F.col("n") >= max(LEAST, int(COMMON * n_docs))).select("token").toArrow()
     return np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
 
@@ -111,126 +115,216 @@ def size_class(n: int) -> int:
     return min(63, int(math.log(max(n, 1)) / math.log(4 / 3) + 1e-9))
 
 
+_COPIES = np.dtype([("k", "<u8"), ("l", "<u8"), ("d", "<i8")])
+
+
+def _in_batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows of bucket, kind and payload in batches of about `BATCH_BYTES`."""
+    held, size = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "payload"])
+
+    for row in rows:
+        held.append(row)
+        size += len(row[2]) + 16
+        if size >= BATCH_BYTES:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
+def _maps(ids: list[int], sets: list[np.ndarray]) -> Iterator[bytes]:
+    """Ids, set sizes and bitmaps, in rows of `ROW_BYTES` at most, or of one document."""
+    head, blobs, size = [], [], 0
+    for key, s in zip(ids, sets, strict=True):
+        blob = one_bitmap(s)
+        if blobs and (size + len(blob) > ROW_BYTES or len(blobs) >= ROW_DOCS):
+            yield np.array([len(blobs), *head], np.int64).tobytes() + b"".join(blobs)
+            head, blobs, size = [], [], 0
+        head += [key, len(s), len(blob)]
+        blobs.append(blob)
+        size += len(blob)
+    if blobs:
+        yield np.array([len(blobs), *head], np.int64).tobytes() + b"".join(blobs)
+
+
+def _unmapped(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    n = int.from_bytes(raw[:8], "little")
+    head = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(n, 3)
+    ends = np.cumsum(head[:, 2]) + 8 + 24 * n
+    return head[:, 0].copy(), head[:, 1].copy(), [raw[e - k : e] for e, k in zip(ends.tolist(), head[:, 2].tolist(), strict=True)]
+
+
+def _sent(ids: list, sets: list[np.ndarray], common: np.ndarray, buckets: int, turn: int) -> Iterator[tuple[int, int, bytes]]:
+    """Rows of one gathering. Those that need not meet others are dealt out in turn."""
+    keys, groups = _distinct_sets(sets)
+    first = {k: min((ids[i] for i in g if ids[i] is not None), default=None) for k, g in groups.items()}
+    at = hash((ids[0], len(ids), turn))
+
+    def anywhere() -> int:
+        nonlocal at
+        at += 1
+        return at % buckets
+
+    named = [i for i in range(len(ids)) if ids[i] is not None]
+    rows = np.array([(ids[i], len(sets[i]), first[keys[i]] if len(sets[i]) else ids[i]) for i in named], np.int64).reshape(-1, 3)
+    for i in range(0, len(rows), ROW_DOCS):
+        yield anywhere(), DOC, rows[i : i + ROW_DOCS].tobytes()
+    nameless = [len(sets[i]) for i in range(len(ids)) if ids[i] is None]
+    if nameless:
+        yield anywhere(), -1, np.array(nameless, np.int64).tobytes()
+    live = [(k, g[0], first[k]) for k, g in groups.items() if len(sets[g[0]]) and first[k] is not None]
+    if not live:
+        return
+    by: dict[int, list] = {}
+    for k, _, doc in live:
+        by.setdefault(int.from_bytes(k[:6], "little") % buckets, []).append(k + int(doc).to_bytes(8, "little", signed=True))
+    for b, x in by.items():
+        yield b, COPY, b"".join(x)
+    for raw in _maps([doc for _, _, doc in live], [sets[i] for _, i, _ in live]):
+        yield anywhere(), MAP, raw
+    docs_of = np.array([doc for _, _, doc in live], np.int64)
+    heads = [prefix(sets[i], common) & ~CLASS_BITS | np.uint64(size_class(len(sets[i]))) for _, i, _ in live]
+    tokens = np.concatenate(heads)
+    owner = np.repeat(np.arange(len(live), dtype=np.int32), [len(h) for h in heads])
+    del heads, by, rows
+    order = np.argsort(tokens, kind="stable")  # owners ascend within a token
+    tokens, owner = tokens[order], owner[order]
+    start = np.ones(len(tokens), bool)
+    start[1:] = tokens[1:] != tokens[:-1]
+    first_at = np.flatnonzero(start)
+    group = np.cumsum(start, dtype=np.int32) - 1
+    crowded = (np.diff(np.r_[first_at, len(tokens)]) >= CROWD)[group]
+    tied = crowded & ~start
+    pairs = np.unique(owner[tied].astype(np.int64) << 32 | owner[first_at][group[tied]])
+    pairs = docs_of[np.stack((pairs >> 32, pairs & 0xFFFFFFFF), 1)]
+    for i in range(0, len(pairs), ROW_BYTES // 16):
+        yield anywhere(), LOCAL, pairs[i : i + ROW_BYTES // 16].tobytes()
+    tokens, owner = tokens[~tied], owner[~tied]
+    bucket = ((tokens >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    for s, e in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
+        yield int(bucket[s]), TOKEN, np.stack((tokens[s:e].view(np.int64), docs_of[owner[s:e]]), 1).tobytes()
+
+
+def _hubs(both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted (token with size class, id) rows, where a run of documents that may be alike begins, and each row's hub."""
+    both = both[np.argsort(both[:, 0].view(np.uint64), kind="stable")]
+    token = both[:, 0].view(np.uint64)
+    size = (token & CLASS_BITS).astype(np.int8)
+    # A gap in the size classes of a token's documents parts them.
+    start = np.r_[True, ((token[1:] ^ token[:-1]) > CLASS_BITS) | (np.diff(size) > 1)]
+    hub = np.minimum.reduceat(both[:, 1], np.flatnonzero(start))[np.cumsum(start) - 1]
+    return both, start, hub
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[keep], b[keep]
+
+
+class _Bucket:
+    """What meets in one bucket. Of a token that very many share, a part is tied to a hub of its own, which stays for it."""
+
+    def __init__(self):
+        self.copies: list[np.ndarray] = []
+        self.tokens: list[np.ndarray] = []
+        self.stay: list[np.ndarray] = []
+        self.held, self.most = 0, HELD
+
+    def add(self, raw: bytes) -> Iterator[tuple]:
+        self.tokens.append(np.frombuffer(raw, np.int64).reshape(-1, 2))
+        self.held += len(self.tokens[-1])
+        if self.held > self.most:
+            both, start, hub = _hubs(np.concatenate(self.tokens))
+            self.tokens.clear()
+            crowded = np.diff(np.r_[np.flatnonzero(start), len(both)])[np.cumsum(start) - 1] > CROWD
+            tied = crowded & (both[:, 1] != hub)
+            yield LATE, *_pairs(both[tied, 1], hub[tied])
+            # A hub stays once for each size class of its run.
+            self.stay.append(np.stack(_pairs(both[crowded, 0], hub[crowded]), 1))
+            self.tokens.append(both[~crowded])
+            self.held = len(self.tokens[-1])
+            self.most = max(HELD, 2 * self.held)
+
+    def close(self) -> Iterator[tuple]:
+        if self.copies:
+            found = np.concatenate(self.copies)
+            found = found[np.lexsort((found["d"], found["l"], found["k"]))]
+            start = np.r_[True, (found["k"][1:] != found["k"][:-1]) | (found["l"][1:] != found["l"][:-1])]
+            first = found["d"][np.flatnonzero(start)][np.cumsum(start) - 1]
+            other = first != found["d"]
+            yield COPY, found["d"][other], first[other]
+        if self.tokens or self.stay:
+            both, _, hub = _hubs(np.concatenate(self.tokens + self.stay))
+            tied = both[:, 1] != hub
+            yield EDGE, *_pairs(both[tied, 1], hub[tied])
+        self.__init__()
+
+
+def _tie_rows(kind: int, x, y, z=None, map=None) -> pa.RecordBatch:
+    n = len(x)
+    columns = [np.full(n, kind, np.int32), x, y, np.zeros(n, np.int64) if z is None else z]
+    return pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], pa.nulls(n, pa.binary()) if map is None else pa.array(map, pa.binary())], ["kind", "x", "y", "z", "map"])
+
+
 def _ties(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
-    """kind, x, y, z: DOC (id, set size, first copy in its task), COPY (id, first copy), EDGE (id, hub), LOCAL (id, hub within its task), MAP (id, set size, bitmap in map)."""
+    """kind, x, y, z, map: what ties documents, and what is known of each.
+
+    DOC (id, set size, first copy in its task), COPY (id, first copy), EDGE (id, hub), LOCAL (id, hub within its task), LATE (id, hub
+    within a part of a bucket), MAP (id, set size, bitmap in map). Buckets are met one at a time, so a task holds one bucket's tokens.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * BUCKETS
     shared = spark.sparkContext.broadcast(common)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        for turn, (ids, sets) in enumerate(_chunks(batches, size)):
-            out: list[tuple[int, int, bytes]] = []
-            keys, groups = _distinct_sets(sets)
-            first = {k: min((ids[i] for i in g if ids[i] is not None), default=None) for k, g in groups.items()}
-            at = hash((ids[0], len(ids), turn)) % buckets
-            named = [i for i in range(len(ids)) if ids[i] is not None]
-            rows = np.array([(ids[i], len(sets[i]), first[keys[i]] if len(sets[i]) else ids[i]) for i in named], np.int64).reshape(-1, 3)
-            out.append((at, DOC, rows.tobytes()))
-            nameless = [len(sets[i]) for i in range(len(ids)) if ids[i] is None]
-            if nameless:
-                out.append((at, -1, np.array(nameless, np.int64).tobytes()))
-            live = [(k, g[0], first[k]) for k, g in groups.items() if len(sets[g[0]]) and first[k] is not None]
-            by: dict[int, list] = {}
-            for k, _, doc in live:
-                by.setdefault(int.from_bytes(k[:6], "little") % buckets, []).append(k + int(doc).to_bytes(8, "little", signed=True))
-            out += [(b, COPY, b"".join(x)) for b, x in by.items()]
-            if live:
-                docs_of = np.array([doc for _, _, doc in live], np.int64)
-                heads = [prefix(sets[i], common) & ~CLASS_BITS | np.uint64(size_class(len(sets[i]))) for _, i, _ in live]
-                out += [(at, MAP, int(doc).to_bytes(8, "little", signed=True) + len(sets[i]).to_bytes(8, "little") + one_bitmap(sets[i])) for _, i, doc in live]
-                tokens = np.concatenate(heads)
-                owner = np.repeat(np.arange(len(live)), [len(h) for h in heads])
-                order = np.lexsort((owner, tokens))
-                tokens, owner = tokens[order], owner[order]
-                start = np.ones(len(tokens), bool)
-                start[1:] = tokens[1:] != tokens[:-1]
-                first_at = np.flatnonzero(start)
-                group = np.cumsum(start) - 1
-                crowded = (np.diff(np.r_[first_at, len(tokens)]) >= CROWD)[group]
-                tied = crowded & ~start
-                pairs = np.unique(np.stack((owner[tied], owner[first_at][group[tied]]), 1), axis=0)
-                out.append((at, LOCAL, docs_of[pairs].tobytes()))
-                tokens, owner = tokens[~tied], owner[~tied]
-                bucket = (tokens >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                for s, e in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
-                    out.append((int(bucket[s]), TOKEN, np.stack((tokens[s:e].view(np.int64), docs_of[owner[s:e]]), 1).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "payload"])
+        yield from _in_batches(row for turn, (ids, sets) in enumerate(_chunks(batches, size)) for row in _sent(ids, sets, shared.value, buckets, turn))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: list[np.ndarray] = []
-        copies: list[np.ndarray] = []
-
-        maps: list[bytes] = []
-
-        def rows(kind: int, x, y, z=None, map=None) -> pa.RecordBatch:
-            n = len(x)
-            columns = [np.full(n, kind, np.int32), x, y, np.zeros(n, np.int64) if z is None else z]
-            return pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], pa.nulls(n, pa.binary()) if map is None else pa.array(map, pa.binary())], ["kind", "x", "y", "z", "map"])
-
-        def mapped() -> pa.RecordBatch:
-            ids = np.array([int.from_bytes(m[:8], "little", signed=True) for m in maps], np.int64)
-            sizes = np.array([int.from_bytes(m[8:16], "little") for m in maps], np.int64)
-            made = rows(MAP, ids, sizes, None, [m[16:] for m in maps])
-            maps.clear()
-            return made
-
-        for batch in batches:
-            for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        at, now = None, _Bucket()
+        for part in parts_of(batches, 32):
+            for bucket, kind, raw in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != at:
+                    for made in now.close():
+                        yield _tie_rows(*made)
+                    at = bucket
                 if kind == COPY:
-                    copies.append(np.frombuffer(raw, np.dtype([("k", "<u8"), ("l", "<u8"), ("d", "<i8")])))
+                    now.copies.append(np.frombuffer(raw, _COPIES))
                 elif kind == TOKEN:
-                    tokens.append(np.frombuffer(raw, np.int64).reshape(-1, 2))
+                    for made in now.add(raw):
+                        yield _tie_rows(*made)
                 elif kind == MAP:
-                    maps.append(raw)
-                    if len(maps) >= 1000:
-                        yield mapped()
+                    ids, sizes, maps = _unmapped(raw)
+                    yield _tie_rows(MAP, ids, sizes, None, maps)
                 elif kind == LOCAL:
-                    pairs = np.frombuffer(raw, np.int64).reshape(-1, 2)
-                    yield rows(LOCAL, pairs[:, 0].copy(), pairs[:, 1].copy())
+                    yield _tie_rows(LOCAL, *np.frombuffer(raw, np.int64).reshape(-1, 2).T.copy())
                 elif kind == DOC:
-                    found = np.frombuffer(raw, np.int64).reshape(-1, 3)
-                    yield rows(DOC, *(found[:, i].copy() for i in range(3)))
+                    yield _tie_rows(DOC, *np.frombuffer(raw, np.int64).reshape(-1, 3).T.copy())
                 else:
                     sizes = np.frombuffer(raw, np.int64).copy()
-                    n = len(sizes)
-                    yield rows(DOC, pa.nulls(n, pa.int64()), sizes, pa.nulls(n, pa.int64()))
-        if copies:
-            found = np.concatenate(copies)
-            found = found[np.lexsort((found["d"], found["l"], found["k"]))]
-            start = np.r_[True, (found["k"][1:] != found["k"][:-1]) | (found["l"][1:] != found["l"][:-1])]
-            first = found["d"][np.flatnonzero(start)][np.cumsum(start) - 1]
-            other = first != found["d"]
-            yield rows(COPY, found["d"][other], first[other])
-        if tokens:
-            both = np.concatenate(tokens)
-            tokens.clear()
-            both = both[np.argsort(both[:, 0].view(np.uint64), kind="stable")]
-            token = both[:, 0].view(np.uint64)
-            size = (token & CLASS_BITS).astype(np.int64)
-            token = token & ~CLASS_BITS
-            # A gap in the size classes of a token's documents parts them.
-            start = np.r_[True, (token[1:] != token[:-1]) | (np.diff(size) > 1)]
-            hub = np.minimum.reduceat(both[:, 1], np.flatnonzero(start))[np.cumsum(start) - 1]
-            pairs = np.stack((both[:, 1], hub), 1)
-            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-            yield rows(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy())
-        if maps:
-            yield mapped()
-
-    sent = docs.select("_id", "_text").mapInArrow(send, _PAYLOAD)
-    return sent.repartition(parts, "bucket").mapInArrow(meet, "kind int, x bigint, y bigint, z bigint, map binary")
+                    yield _tie_rows(DOC, pa.nulls(len(sizes), pa.int64()), sizes, pa.nulls(len(sizes), pa.int64()))
+        for made in now.close():
+            yield _tie_rows(*made)
+
+    sent = mapped(docs.select("_id", "_text"), send, _PAYLOAD)
+    return mapped(sent.repartition(parts, "bucket").sortWithinPartitions("bucket"), meet, "kind int, x bigint, y bigint, z bigint, map binary")
 
 
 def _pruned(stands: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
     """u, v: pairs enough to connect, in each stand, all whose overlap its signature tree can't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, sizes, maps = None, [], [], []
+        at, ids, sizes, maps, held = None, [], [], [], 0
         pairs: list[tuple[int, int]] = []
 
         def close() -> None:
@@ -258,12 +352,17 @@ def _pruned(stands: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
                 for hub, key, size, raw in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     if hub != at:
                         close()
-                        at, ids, sizes, maps = hub, [], [], []
-                        if len(pairs) > 10_000:
-                            yield flush()
+                        at, ids, sizes, maps, held = hub, [], [], [], 0
+                    if len(pairs) > 10_000:
+                        yield flush()
                     if ids and ids[-1] == key:  # an id with several texts: its smallest and largest set may differ, so it stays apart
                         pairs.append((key, hub))
                         continue
+                    held += len(raw)
+                    if held > STAND_BYTES:  # as a stand above STAND: unpruned
+                        pairs += [(k, hub) for k in [*ids, key] if k != hub]
+                        ids, sizes, maps = [], [], []
+                        continue
                     ids.append(key)
                     sizes.append(size)
                     maps.append(raw)
@@ -275,7 +374,7 @@ def _pruned(stands: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
     rows = stands.join(n.where((F.col("n") > 1) & (F.col("n") <= STAND)).select("hub"), "hub").join(maps, "node")
     rows = rows.select("hub", "node", "_size", "_map").repartition(parts, "hub").sortWithinPartitions("hub", "node")
     whole = stands.join(large, "hub").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    return materialize(rows.mapInArrow(run, "u bigint, v bigint").unionByName(whole), "near")
+    return materialize(mapped(rows, run, "u bigint, v bigint").unionByName(whole), "near")
 
 
 def _joined(rows: DataFrame, size: int, by: list[str], rejoin: bool) -> DataFrame:
@@ -319,7 +418,7 @@ def _joined(rows: DataFrame, size: int, by: list[str], rejoin: bool) -> DataFram
         close()
         yield flush()
 
-    return rows.select(*by, "_id", "_text", "_probe", "_group").mapInArrow(run, "u bigint, v bigint")
+    return mapped(rows.select(*by, "_id", "_text", "_probe", "_group"), run, "u bigint, v bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, block: int = BLOCK) -> DataFrame:
@@ -339,25 +438,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = ties.where(F.col("kind") == COPY).select(F.col("x").alias("u"), F.col("y").alias("v"))
     tied = ties.where(F.col("kind") == EDGE).select(F.col("x").alias("node"), F.col("y").alias("hub"))
     crowds = ties.where(F.col("kind") == LOCAL).select(F.col("x").alias("node"), F.col("y").alias("hub"))
-    # Whoever is tied to a task's hub belongs to each stand of that hub.
+    # Whoever is tied to a hub of a task, or of a part of a bucket, belongs to each stand of that hub.
+    late = ties.where(F.col("kind") == LATE).select(F.col("x").alias("node"), F.col("y").alias("hub"))
+    if late.take(1):
+        crowds = materialize(crowds.unionByName(late).unionByName(crowds.withColumnRenamed("hub", "_via").join(late.withColumnRenamed("node", "_via"), "_via").select("node", "hub")).distinct(), "crowds")
     through = crowds.withColumnRenamed("hub", "_via").join(tied.withColumnRenamed("node", "_via"), "_via").select("node", "hub")
     hubs = tied.unionByName(crowds).select(F.col("hub").alias("node"), "hub")
     # Of copies, which have equal sets, the least stands for all.
     others = copies.select(F.col("u").alias("node")).distinct()
     stands = materialize(tied.unionByName(crowds).unionByName(through).unionByName(hubs).distinct().join(others, "node", "left_anti"), "stands")
     near = _pruned(stands, ties.where(F.col("kind") == MAP).select(F.col("x").alias("node"), F.col("y").alias("_size"), F.col("map").alias("_map")), parts)
-    members = materialize(components(near), "members")
-    counts = materialize(members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "forests")
-    sizes = rows.groupBy("x").agg(F.max("y").alias("size"))
-    # Sets of a large forest are dealt by size class, as like sets have near sizes, then by hash.
-    big = counts.where(F.col("n") > block)
+    sizes = rows.where("x IS NOT NULL").groupBy("x").agg(F.max("y").alias("size"))
+    members = components(near).join(sizes, F.col("node") == F.col("x")).drop("x")
+    members = materialize(members, "members")
+    counts = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("m")).where("n > 1")
+    counts = materialize(counts.select("component", F.greatest(F.col("n"), F.col("m") / SHINGLES).alias("load")), "forests")
+    # Sets of a large forest, by their number or their shingles, are dealt by size class, as like sets have near sizes, then by hash.
+    big = counts.where(F.col("load") > block)
     some_big = bool(big.take(1))
-    small = members.join(counts.where(F.col("n") <= block), "component").select(F.col("node").alias("_id"), "component", F.lit(0).alias("_class"), F.lit(0).alias("_part"))
+    small = members.join(counts.where(F.col("load") <= block), "component").select(F.col("node").alias("_id"), "component", F.lit(0).alias("_class"), F.lit(0).alias("_part"))
     where = small
     if some_big:
-        dealt = members.join(big, "component").join(sizes, F.col("node") == F.col("x")).drop("x")
+        dealt = members.join(big, "component")
         dealt = dealt.withColumn("_class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(4 / 3))).cast("int"))
-        classes = dealt.groupBy("component", "_class").agg(F.ceil(F.count("*") / F.lit(block)).alias("_parts"))
+        classes = dealt.groupBy("component", "_class").agg(F.ceil(F.greatest(F.count("*"), F.sum("size") / SHINGLES) / F.lit(block)).alias("_parts"))
         dealt = materialize(
             dealt.join(classes, ["component", "_class"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).select(F.col("node").alias("_id"), "component", "_class", "_part"),
             "dealt",

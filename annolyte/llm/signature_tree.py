@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 FANOUT = 8
-#: Bits of a bitmap at least and at most; node pairs that are bounded at once.
-LEAST_BITS, MOST_BITS, AT_ONCE = 256, 1 << 14, 1 << 14
+#: Bits of a bitmap at least and at most; node pairs that are bounded at once, and bytes of their bitmaps.
+LEAST_BITS, MOST_BITS, AT_ONCE, AT_BYTES = 256, 1 << 14, 1 << 14, 1 << 23
 
 
 def bits_for(sizes: np.ndarray) -> int:
@@ -57,14 +57,26 @@ def levels_for(n: int) -> int:
     return k
 
 
+def at_once(maps: np.ndarray) -> int:
+    """How many pairs of bitmaps are held at once."""
+    return max(64, min(AT_ONCE, AT_BYTES // (8 * max(1, maps.shape[1]))))
+
+
+def overlap(maps: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Bits that each of maps has in common with one."""
+    step = at_once(maps)
+    return np.concatenate([np.bitwise_count(maps[i : i + step] & one).sum(1, dtype=np.int64) for i in range(0, len(maps), step)])
+
+
 def dual(a: Tree, b: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of sets that the bounds leave, in batches. same: a is b, and each pair comes once."""
+    most_pairs = at_once(a.levels[0][0])
     stack = [(len(a.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
-        if len(i) > AT_ONCE:
-            stack.append((level, i[AT_ONCE:], j[AT_ONCE:]))
-            i, j = i[:AT_ONCE], j[:AT_ONCE]
+        if len(i) > most_pairs:
+            stack.append((level, i[most_pairs:], j[most_pairs:]))
+            i, j = i[:most_pairs], j[:most_pairs]
         am, alow, ahigh, ahid, agrp = a.levels[level]
         bm, blow, bhigh, bhid, bgrp = b.levels[level]
         # Sets whose sizes differ by more than a quarter can't be alike; nodes within one group need no more links.
@@ -195,7 +207,7 @@ def traverse(maps: np.ndarray, sizes: np.ndarray, common: np.ndarray, least: np.
                 break
             p = int(np.argmax(np.where(free, common, -np.inf)))
             asked.add(p)
-            most = np.bitwise_count(maps & maps[p]).sum(1, dtype=np.int64) + np.minimum(hidden, hidden[p])
+            most = overlap(maps, maps[p]) + np.minimum(hidden, hidden[p])
             ok = (now != now[p]) & (4 * sizes >= 3 * sizes[p]) & (4 * sizes[p] >= 3 * sizes) & (7 * most >= 3 * (sizes + sizes[p]))
             if probe is not None and not probe[p]:
                 ok &= probe

@@ -91,3 +91,41 @@ def test_tree_loses_no_pair():
     g = link(sets).array()
     for i, j in want:
         assert g[i] == g[j]
+
+
+@pytest.mark.parametrize(("seed", "crowd", "held"), [(5, 2, 10), (6, 3, 40), (7, 1, 200)])
+def test_crowded_buckets_in_parts(spark, monkeypatch, seed, crowd, held):
+    """Tokens that many tasks send are tied in parts of a bucket: no link goes."""
+    monkeypatch.setattr(J, "CROWD", crowd)
+    monkeypatch.setattr(J, "HELD", held)
+    monkeypatch.setattr(J, "GATHER", 7)
+    monkeypatch.setattr(J, "BUCKETS", 1)
+    monkeypatch.setattr(J, "SHINGLES", 30)
+    monkeypatch.setattr(J, "STAND_BYTES", 2000)
+    texts = corpus(seed, 120)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    got = {r.doc_id: r.component_id for r in jaccard_components(df, block=8).collect()}
+    assert got == components({i: shingles(t) for i, t in enumerate(texts)})
+
+
+def test_bucket_in_parts_ties_what_a_whole_one_does():
+    r = np.random.default_rng(3)
+    rows = np.stack((r.integers(0, 40, 4000) * 64 + r.integers(3, 6, 4000), r.integers(0, 300, 4000)), 1).astype(np.int64)
+
+    def groups(most):
+        J_held, J.HELD = J.HELD, most
+        try:
+            b = J._Bucket()
+            made = [x for i in range(0, len(rows), 100) for x in b.add(rows[i : i + 100].tobytes())] + list(b.close())
+        finally:
+            J.HELD = J_held
+        tied = {(k, int(x), int(y)) for k, xs, ys in made for x, y in zip(xs, ys, strict=True)}
+        edges = {(x, y) for k, x, y in tied if k == J.EDGE} | {(x, x) for x in range(300)}
+        late = {(x, y) for k, x, y in tied if k == J.LATE}
+        stands = edges | {(x, h) for x, y in late for v, h in edges if v == y}
+        return {h: {x for x, k in stands if k == h} for _, h in stands}, late
+
+    whole, none = groups(10_000)
+    parted, late = groups(500)
+    assert not none and late
+    assert all(any(members <= m for m in parted.values()) for members in whole.values())
