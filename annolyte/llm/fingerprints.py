@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of
+from ..shipping import ship
+from .common import mapped, parts_of
 
 #: Samples of a fingerprint; words longer than this many characters count as their runs of 8.
 SAMPLES, LONG_WORD = 64, 40
@@ -146,66 +147,87 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(">u2").tobytes().hex() for s in signs])], [id_col, "fingerprint"])
 
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
+    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fingerprint string")
 
 
-#: Ranges of ids that neighbours are found in, for each shuffle partition; fixed bound on the driver's list.
-RANGES = 4
+#: What null ids count as in the order: they come first.
+LEAST_ID = -(1 << 63)
+
+
+class _Ranges:
+    """Ranges of (id, hash of the text) between quantiles of the ids; an id on several quantiles is split among them by hash."""
+
+    def __init__(self, borders: list[int]):
+        self.borders = np.array(borders, np.int64)
+
+    def __call__(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.borders, ids, "left"), np.searchsorted(self.borders, ids, "right")
+        # An id on k borders fills the k - 1 ranges between them; otherwise it lies in the range above its border.
+        share = ((hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        return np.where(high - low > 1, low + 1 + np.floor(share * (high - low - 1)).astype(np.int64), high).astype(np.int32)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Documents dealt into ranges of ids, in order within each; each range ends with the first row of the next.
 
-    _range, _tail (that extra row), id, text. The last range ends with the very first row. Null ids
-    come first. Borders are quantiles, RANGES for each shuffle partition, so their number does not
-    grow with the documents.
+    _range, _tail (that extra row), id, text, in order of ids, then of the text's hash. The last range ends with the very first
+    row. Null ids come first. There is a range for each shuffle partition. Borders and first rows are known to the
+    workers as plain arrays of two numbers a range, so plans don't grow with the partitions. Rows that repeat an id are
+    neighbours, and split among ranges where they are many; only rows with equal id and equal text always share a range.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES
-    borders = rows.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    borders = sorted(set(borders))
-    # The range of an id: how many borders lie at or below it.
-    rows = rows.withColumn("_range", _steps(F.col("_id"), borders))
-    firsts = rows.groupBy("_range").agg(F.min(F.struct(F.col("_id").isNotNull().alias("z"), F.col("_id").alias("id"))).alias("first"))
-    heads = sorted((r["_range"], r["first"]["id"]) for r in firsts.collect())  # a row for each range
+    ship(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    key, mark = F.coalesce("_id", F.lit(LEAST_ID)), F.xxhash64("_text")
+    borders = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else []
+    ranges = _Ranges(borders or [])
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(ranges(ids.to_numpy(), hashes.to_numpy()))
+
+    placed = rows.select(key.alias("k"), mark.alias("h")).select(range_of("k", "h").alias("r"), "k", "h")
+    heads = sorted((x["r"], x["least"]["k"], x["least"]["h"]) for x in placed.groupBy("r").agg(F.min(F.struct("k", "h")).alias("least")).collect())  # a row for each range
+    at, first_k, first_h = (np.array([x[i] for x in heads], np.int64) for i in range(3))
+
+    @F.arrow_udf("array<int>")
+    def ranges_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        """The range of a row, and for the first of a range also the one before."""
+        k, h = ids.to_numpy(), hashes.to_numpy()
+        own = ranges(k, h)
+        i = np.searchsorted(at, own)
+        first = (first_k[i] == k) & (first_h[i] == h)
+        both = np.stack((own, at[i - 1].astype(np.int32)), 1)
+        keep = np.stack((np.ones(len(own), bool), first), 1)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep.sum(1))].astype(np.int32)), pa.array(both[keep]))
+
     if not heads:
-        return rows.withColumn("_tail", F.lit(False))
-    pairs = [(r, heads[i - 1][0]) for i, (r, _) in enumerate(heads)]
-    to = F.create_map(*[F.lit(x) for p in pairs for x in p])
-    first = F.create_map(*[F.lit(x) for r, i in heads if i is not None for x in (r, i)]) if any(i is not None for _, i in heads) else None
-    is_first = F.col("_id").isNull() if first is None else F.coalesce(F.try_element_at(first, F.col("_range")) == F.col("_id"), F.col("_id").isNull())
-    own = F.struct(F.col("_range").alias("range"), F.lit(False).alias("tail"))
-    extra = F.struct(F.element_at(to, F.col("_range")).alias("range"), F.lit(True).alias("tail"))
+        return rows.select(F.lit(0).alias("_range"), F.lit(False).alias("_tail"), "_id", "_text", F.lit(0).cast("bigint").alias("_mark"))
     return (
-        rows.withColumn("_to", F.explode(F.when(is_first, F.array(own, extra)).otherwise(F.array(own))))
-        .select(F.col("_to.range").alias("_range"), F.col("_to.tail").alias("_tail"), "_id", "_text")
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_range")
-        .sortWithinPartitions("_range", "_tail", F.col("_id").asc_nulls_first(), F.sha2("_text", 256))
+        rows.withColumn("_mark", mark)
+        .withColumn("_to", ranges_of(key, F.col("_mark")))
+        .select(F.posexplode("_to").alias("_nth", "_range"), "_id", "_text", "_mark")
+        .select("_range", (F.col("_nth") > 0).alias("_tail"), "_id", "_text", "_mark")
+        .repartitionById(n, F.col("_range"))
+        .sortWithinPartitions("_range", "_tail", F.col("_id").asc_nulls_first(), "_mark")
     )
 
 
-def _steps(value, borders):
-    """How many borders lie at or below value, by halving; null counts as below all."""
-    if not borders:
-        return F.lit(0)
-
-    def go(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value >= F.lit(borders[mid]), go(mid + 1, hi)).otherwise(go(lo, mid))
-
-    return go(0, len(borders))
-
-
 def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of each whole text, of its edit, and how alike these and the next document's are.
 
     The edit replaces the last quarter by as many first characters of the next document (ascending
     ids; the first follows the last). Null texts are empty. Returns id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Ids are integers; others raise an error. Rows that repeat an id, null ids among them, stand together in the order of a hash of
+    their texts, null ids first; each row has the next row as its next document, whatever that one's id.
+    A single row is its own next. An empty table gives no rows. Other columns are not read.
     """
+    kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids of type {kind}: integers are needed for their order")
 
     def flush(rows, sampler):
         """rows: (id, text) in order; the last row just ends the others."""
@@ -237,11 +259,11 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
         rows, size, at, ended = [], 0, None, False
-        for part in parts_of(batches, 256):
+        for part in parts_of(batches, 64):
             for where, tail, key, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 if where != at:
                     rows, size, at, ended = [], 0, where, False
-                if ended:  # repeated rows of the next range's first id
+                if ended:  # repeated rows of the next range's first one
                     continue
                 rows.append((key, text))
                 size += len(text)
@@ -251,5 +273,5 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         yield flush(rows, sampler)
                     rows, size = [rows[-1]], len(text)
 
-    made = with_next(docs, id_col, text_col).select("_range", "_tail", F.col("_id").cast("bigint"), "_text")
-    return made.mapInArrow(run, f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    made = with_next(docs, id_col, text_col).select("_range", "_tail", "_id", "_text")
+    return mapped(made, run, f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
