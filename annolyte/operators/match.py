@@ -129,7 +129,18 @@ def nearest_frames(targets: DataFrame, conditions: DataFrame, by: list[str], n:
     The closest before and the closest at or after always; the rest by distance, the earlier of equals. keep_first:
     also the first of those before always, or, if there's none, the last of those after. targets: by, frame; conditions: by, cond.
     """
-    pair = targets.join(conditions, by)
+    # Conditions are numbered; a target needs the n before and the n at or after it, found by a running count instead of all pairs.
+    known = conditions.select(*by, "cond").distinct()
+    numbered = known.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("cond")))
+    marks = known.select(*by, F.col("cond").alias("frame"), F.lit(1).alias("_is")).unionByName(targets.select(*by, "frame", F.lit(0).alias("_is")).distinct())
+    line = Window.partitionBy(*by).orderBy("frame")
+    before = F.coalesce(F.sum("_is").over(line.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = F.sum("_is").over(Window.partitionBy(*by))
+    near = F.sequence(F.greatest(before - n + 1, F.lit(1)), F.greatest(F.least(before + n, top), F.lit(1)))
+    if keep_first:
+        near = F.array_distinct(F.concat(near, F.array(F.lit(1).cast("bigint"), top)))
+    at = marks.withColumn("_near", near).where("_is = 0").select(*by, "frame", F.explode("_near").alias("_n"))
+    pair = at.join(numbered, [*by, "_n"]).drop("_n")
     w = Window.partitionBy(*by, "frame")
     c, f = F.col("cond"), F.col("frame")
     sure = F.coalesce(c == F.max(F.when(c < f, c)).over(w), F.lit(False)) | F.coalesce(c == F.min(F.when(c >= f, c)).over(w), F.lit(False))

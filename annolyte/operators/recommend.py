@@ -9,19 +9,29 @@ from ..functions.vec import dot
 from .match import top_k
 
 
-def nearest(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, k: int) -> DataFrame:
-    """The k items of highest cosine for each query; of equals the least key. Adds sim.
+#: Queries that are held by a task at once.
+QUERIES = 2048
 
-    The queries are a stated, small set and are broadcast in one array each task scans; every task
-    keeps k items a query before the shuffle.
+
+def nearest(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, k: int, others: bool = False) -> DataFrame:
+    """The k items of highest cosine for each query; of equals the least key. Adds sim. others: an item of the query's own key doesn't count.
+
+    Queries are dealt by hash into blocks of about `QUERIES`; each block is one array that every task scans its items against, in a
+    pass of its own, so that what is broadcast does not grow with the queries. Every task keeps k items a query before the shuffle.
     """
-    q = queries.select(query_key, F.col("embedding").alias("_q")).withColumn("_nq", F.sqrt(dot(F.col("_q"), F.col("_q"))))
+    blocks = max(1, -(-queries.count() // QUERIES))
+    q = queries.select(query_key, F.col("embedding").alias("_q")).withColumns({"_nq": F.sqrt(dot(F.col("_q"), F.col("_q"))), "_block": F.pmod(F.xxhash64(query_key), F.lit(blocks))})
     i = items.select(item_key, F.col("embedding").alias("_e")).withColumn("_ne", F.sqrt(dot(F.col("_e"), F.col("_e"))))
-    packed = q.agg(F.collect_list(F.struct(query_key, "_q", "_nq")).alias("_all"))
-    each = i.join(F.broadcast(packed)).select(item_key, "_e", "_ne", F.explode("_all").alias("q"))
-    sim = dot(F.col("_e"), F.col("q._q")) / (F.col("q._nq") * F.col("_ne") + 1e-10)
-    scored = each.select(F.col(f"q.{query_key}").alias(query_key), item_key, sim.alias("sim"))
-    return top_k(scored, [query_key], [F.desc("sim"), item_key], k)
+    found = None
+    for block in range(blocks):
+        packed = q.where(F.col("_block") == block).agg(F.collect_list(F.struct(query_key, "_q", "_nq")).alias("_all"))
+        each = i.join(F.broadcast(packed)).select(item_key, "_e", "_ne", F.explode("_all").alias("q"))
+        if others:
+            each = each.where(F.col(item_key) != F.col(f"q.{query_key}"))
+        sim = dot(F.col("_e"), F.col("q._q")) / (F.col("q._nq") * F.col("_ne") + 1e-10)
+        best = top_k(each.select(F.col(f"q.{query_key}").alias(query_key), item_key, sim.alias("sim")), [query_key], [F.desc("sim"), item_key], k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def missing_references(edges: DataFrame, vertices: DataFrame, edge_key: str, vertex_key: str) -> DataFrame:

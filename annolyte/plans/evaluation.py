@@ -95,7 +95,7 @@ def _(spark, sf_dir):
 
 
 def _side_sql(key: str, rows: str) -> str:
-    return f"SELECT case_id // 320 AS video_id, (case_id // 32) % 10 AS frame, {key} AS id FROM {rows} WHERE {key} <= 4 GROUP BY ALL"
+    return f"SELECT case_id // 320 AS video_id, (case_id // 32) % 10 AS frame, {key} AS id FROM {rows} GROUP BY ALL"
 
 
 @register(
@@ -104,7 +104,7 @@ def _side_sql(key: str, rows: str) -> str:
         SELECT video_id, count(*) FILTER (WHERE side = 1) AS dets, count(*) FILTER (WHERE side = 0) AS gt_dets, count(DISTINCT id) FILTER (WHERE side = 1) AS ids, count(DISTINCT id) FILTER (WHERE side = 0) AS gt_ids, count(DISTINCT frame) AS frames FROM u GROUP BY video_id""",
 )
 def _(spark, sf_dir):
-    t, d = _tracks(spark, sf_dir).where("id <= 4"), F.col("side") == 1
+    t, d = _tracks(spark, sf_dir), F.col("side") == 1
     return t.groupBy("video_id").agg(
         F.count_if(d).alias("dets"), F.count_if(~d).alias("gt_dets"), F.count_distinct(F.when(d, F.col("id"))).alias("ids"), F.count_distinct(F.when(~d, F.col("id"))).alias("gt_ids"), F.count_distinct("frame").alias("frames")
     )

@@ -81,7 +81,7 @@ def _(spark, sf_dir):
 
 def _videos(spark, sf_dir):
     """A video for each ten images; tracks are line numbers, with no box where a case lacks the line."""
-    s = shapes(spark, sf_dir).where("shape_id <= 3").withColumn("f", F.floor(F.col("case_id") / 32) % 10).withColumn("video", F.floor(F.col("case_id") / 320))
+    s = shapes(spark, sf_dir).withColumn("f", F.floor(F.col("case_id") / 32) % 10).withColumn("video", F.floor(F.col("case_id") / 320))
     box = F.struct(F.col("f").alias("f"), F.col("case_id"), F.array(F.col("x0") * 1.0, F.col("y0") * 1.0, (F.col("x1") - F.col("x0")) * 1.0, (F.col("y1") - F.col("y0")) * 1.0).alias("b"))
     first = s.groupBy("video", "shape_id", "f").agg(F.min(box).alias("m"))
     t = first.groupBy("video", "shape_id").agg(F.map_from_entries(F.collect_list(F.struct("f", "m.b"))).alias("by"))
@@ -94,7 +94,7 @@ def _videos(spark, sf_dir):
 
 @register(
     "ytvis_to_coco",
-    f"""{WITH}, s AS (SELECT case_id // 320 AS video_id, (case_id // 32) % 10 AS frame_index, shape_id, case_id, x0, y0, x1, y1 FROM shapes WHERE shape_id <= 3),
+    f"""{WITH}, s AS (SELECT case_id // 320 AS video_id, (case_id // 32) % 10 AS frame_index, shape_id, case_id, x0, y0, x1, y1 FROM shapes),
         m AS (SELECT *, row_number() OVER (PARTITION BY video_id, shape_id, frame_index ORDER BY case_id, x0, y0, x1 - x0, y1 - y0) AS r FROM s),
         v AS (SELECT video_id, dense_rank() OVER (ORDER BY video_id) - 1 AS place FROM (SELECT DISTINCT video_id FROM s))
         SELECT video_id, shape_id AS category_id, CAST(frame_index AS BIGINT) AS frame_index, CAST(place * 10 + frame_index AS BIGINT) AS image_id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM m JOIN v USING (video_id) WHERE r = 1""",

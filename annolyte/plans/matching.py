@@ -220,7 +220,7 @@ def _(spark, sf_dir):
     return match.least_overlapped(s, ["case_id"], "shape_id").select("case_id", "orientation", "shape_id", F.round("most", 6).alias("most"))
 
 
-ASSOC = f"{WITH}, p AS (SELECT a.case_id, a.shape_id, b.pred_id, {IOU} AS iou FROM shapes a JOIN preds b ON a.case_id = b.case_id AND {INTER} > 0 WHERE a.shape_id <= 3)"
+ASSOC = f"{WITH}, p AS (SELECT a.case_id, a.shape_id, b.pred_id, {IOU} AS iou FROM shapes a JOIN preds b ON a.case_id = b.case_id AND {INTER} > 0)"
 
 
 @register(
@@ -229,7 +229,7 @@ ASSOC = f"{WITH}, p AS (SELECT a.case_id, a.shape_id, b.pred_id, {IOU} AS iou FR
         SELECT d.case_id, d.pred_id AS det_id, CASE WHEN most >= 0.5 THEN track_id END AS track_id, coalesce(most, 0) < 0.5 AS is_new FROM preds d LEFT JOIN b USING (case_id, pred_id)""",
 )
 def _(spark, sf_dir):
-    t = _shapes(spark, sf_dir).where("shape_id <= 3").select("case_id", F.col("shape_id").alias("track_id"), "box")
+    t = _shapes(spark, sf_dir).select("case_id", F.col("shape_id").alias("track_id"), "box")
     d = _preds(spark, sf_dir).select("case_id", F.col("pred_id").alias("det_id"), "box")
     return match.associate(t, d, ["case_id"])[0]
 
@@ -237,17 +237,17 @@ def _(spark, sf_dir):
 @register(
     "assoc_tracks",
     f"""{ASSOC}, b AS (SELECT case_id, shape_id, max(iou) AS most FROM p GROUP BY ALL)
-        SELECT t.case_id, t.shape_id AS track_id, coalesce(most, 0) >= 0.5 AS is_matched FROM shapes t LEFT JOIN b USING (case_id, shape_id) WHERE t.shape_id <= 3""",
+        SELECT t.case_id, t.shape_id AS track_id, coalesce(most, 0) >= 0.5 AS is_matched FROM shapes t LEFT JOIN b USING (case_id, shape_id)""",
 )
 def _(spark, sf_dir):
-    t = _shapes(spark, sf_dir).where("shape_id <= 3").select("case_id", F.col("shape_id").alias("track_id"), "box")
+    t = _shapes(spark, sf_dir).select("case_id", F.col("shape_id").alias("track_id"), "box")
     d = _preds(spark, sf_dir).select("case_id", F.col("pred_id").alias("det_id"), "box")
     return match.associate(t, d, ["case_id"])[1]
 
 
 #: Videos of ten cases: a case is a frame, a line number a track.
 def _tracks(key: str, rows: str) -> str:
-    return f"SELECT case_id // 320 AS video_id, (case_id // 32) % 10 AS frame, {key} AS id, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 FROM {rows} WHERE {key} <= 4 GROUP BY ALL"
+    return f"SELECT case_id // 320 AS video_id, (case_id // 32) % 10 AS frame, {key} AS id, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 FROM {rows} GROUP BY ALL"
 
 
 
@@ -261,7 +261,7 @@ def _tracks(key: str, rows: str) -> str:
 def _(spark, sf_dir):
     def tracks(df, key, name):
         v, f = F.floor(F.col("case_id") / 320).alias("video_id"), (F.floor(F.col("case_id") / 32) % 10).alias("frame")
-        g = df.where(f"{key} <= 4").groupBy(v, f, F.col(key).alias(name)).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        g = df.groupBy(v, f, F.col(key).alias(name)).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
         return g.select("video_id", "frame", name, corners().alias("box"))
 
     got = match.track_iou(tracks(shapes(spark, sf_dir), "line", "a_id"), tracks(preds(spark, sf_dir), "pred_id", "b_id"), ["video_id"])
@@ -282,7 +282,7 @@ def _(spark, sf_dir):
 
 @register(
     "nearest_cond_frames",
-    f"""{WITH}, c AS (SELECT track_id, frame AS cond FROM frames WHERE miss), t AS (SELECT track_id, frame FROM frames WHERE frame % 10 = 5),
+    f"""{WITH}, c AS (SELECT track_id, frame AS cond FROM frames WHERE miss), t AS (SELECT track_id, frame FROM frames),
         p AS (SELECT t.track_id, t.frame, c.cond, max(CASE WHEN cond < frame THEN cond END) OVER w AS before, min(CASE WHEN cond >= frame THEN cond END) OVER w AS after
               FROM t JOIN c USING (track_id) WINDOW w AS (PARTITION BY t.track_id, t.frame)),
         r AS (SELECT track_id, frame, cond, row_number() OVER (PARTITION BY track_id, frame ORDER BY CASE WHEN cond = before OR cond = after THEN 0 ELSE 1 END, abs(cond - frame), cond) AS rank FROM p)
@@ -290,7 +290,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     f = frames(spark, sf_dir)
-    return match.nearest_frames(f.where("frame % 10 = 5").select("track_id", "frame"), f.where("miss").select("track_id", F.col("frame").alias("cond")), ["track_id"], 4)
+    return match.nearest_frames(f.select("track_id", "frame"), f.where("miss").select("track_id", F.col("frame").alias("cond")), ["track_id"], 4)
 
 
 CONF = f"""{WITH}, c AS (SELECT case_id, count(*) FILTER (WHERE is_error AND {{vote}}) tp, count(*) FILTER (WHERE NOT is_error AND NOT {{vote}}) tn, count(*) FILTER (WHERE NOT is_error AND {{vote}}) fp, count(*) FILTER (WHERE is_error AND NOT {{vote}}) fn FROM shapes GROUP BY case_id),
@@ -448,7 +448,7 @@ def _(spark, sf_dir):
 
 @register(
     "cosine_topk",
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 10),
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
         s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(q, embedding), lambda t: CAST(t[1] AS DOUBLE) * CAST(t[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(q, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) + 1e-10) AS sim FROM q, embeddings)
         SELECT query_id, vec_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) r FROM s) WHERE r <= 10""",
 )
@@ -456,5 +456,5 @@ def _(spark, sf_dir):
     from ..operators.recommend import nearest
 
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return nearest(q, e.select("vec_id", "embedding"), "query_id", "vec_id", 10).select("query_id", "vec_id", F.round("sim", 6).alias("sim"))

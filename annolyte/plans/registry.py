@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Registers the queries of all plan modules."""
-    from . import assembly, evaluation, filters, io_queries, matching, records_queries, smoke, tracking, validation, video_queries  # noqa: F401
+    from . import assembly, evaluation, filters, io_queries, matching, records_queries, sessions, smoke, tracking, validation, video_queries  # noqa: F401
 
 
 
