@@ -147,3 +147,15 @@ def letterbox(width: Column, height: Column, size: int = 1008) -> Column:
 def scale_factor(width: Column, target: float) -> Column:
     """target / width within [0.5, 2]; 1 for a width that is not positive."""
     return F.when(width > 0, F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.lit(float(target)) / width))).otherwise(1.0)
+
+
+def to_points(b: Column, x: Column, y: Column) -> Column:
+    """Distances from a point to the left, top, right and bottom side; negative ones lie outside."""
+    return F.struct((x - b["x0"]).alias("left"), (y - b["y0"]).alias("top"), (b["x1"] - x).alias("right"), (b["y1"] - y).alias("bottom"))
+
+
+def centre_similarity(a: Column, b: Column, zero: float = 2.0) -> Column:
+    """1 for equal centres, falling to 0 at the distance `zero`."""
+    mid = lambda box, low, high: (box[low] + box[high]) / 2
+    far = F.hypot(mid(a, "x0", "x1") - mid(b, "x0", "x1"), mid(a, "y0", "y1") - mid(b, "y0", "y1"))
+    return F.greatest(1 - far / zero, F.lit(0.0))

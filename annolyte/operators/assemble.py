@@ -45,12 +45,27 @@ def back_mapped(shapes: DataFrame, placed: DataFrame, by: list[str], gap: int =
     return j.select(*by, "bin_id", "id", "partition_id", F.when(F.col("turned"), turned).otherwise(flat).alias("box"))
 
 
-def set_cost_match(rows: DataFrame, by: list[str], keys: str, w_class: float = 1.0, w_l1: float = 1.0, w_giou: float = 1.0) -> DataFrame:
-    """by, query_id, target_id of the least total cost: -score, L1 of centre boxes, -GIoU. rows: by, side, id, score, box (normalised)."""
+def class_cost(score: np.ndarray, kind: str = "score", alpha: float = 0.25, gamma: float = 2.0) -> np.ndarray:
+    """What a query's score costs: score: its negative; log: the negative log likelihood; focal: what focal loss gives for a hit less what it gives for a miss."""
+    p = np.clip(score, 1e-8, 1 - 1e-8)
+    if kind == "score":
+        return -score
+    if kind == "log":
+        return -np.log(p)
+    if kind == "focal":
+        return -alpha * (1 - p) ** gamma * np.log(p) + (1 - alpha) * p**gamma * np.log(1 - p)
+    raise ValueError(f"no class cost {kind}")
+
+
+def set_cost_match(rows: DataFrame, by: list[str], keys: str, w_class: float = 1.0, w_l1: float = 1.0, w_giou: float = 1.0, kind: str = "score", copies: int = 1) -> DataFrame:
+    """by, query_id, target_id of the least total cost: class cost, L1 of centre boxes, -GIoU. rows: by, side, id, score, box (normalised).
+
+    kind: as `class_cost`. copies: how many queries a target takes at most, each query one target; with 1 it's one to one.
+    """
 
     def kernel(key: tuple, c: dict) -> list[tuple]:
         q = [(i, s, b) for i, s, b, side in zip(c["id"], c["score"], c["box"], c["side"], strict=True) if side == 1]
-        t = [(i, b) for i, b, side in zip(c["id"], c["box"], c["side"], strict=True) if side == 0]
+        t = [(i, b) for i, b, side in zip(c["id"], c["box"], c["side"], strict=True) if side == 0] * copies
         if not q or not t:
             return []
         corners = lambda bs: np.array([[b["x0"], b["y0"], b["x1"], b["y1"]] for b in bs], float)
@@ -62,7 +77,7 @@ def set_cost_match(rows: DataFrame, by: list[str], keys: str, w_class: float = 1
         area = lambda x: (x[:, 2:] - x[:, :2]).prod(1)
         union = (area(a)[:, None] + area(b)[None]) / (1 + iou)
         giou = iou - (hull - union) / np.maximum(hull, 1e-12)
-        cost = -w_class * np.array([x[1] for x in q])[:, None] + w_l1 * l1 - w_giou * giou
+        cost = w_class * class_cost(np.array([x[1] for x in q], float), kind)[:, None] + w_l1 * l1 - w_giou * giou
         return [(*key, q[i][0], t[j][0], float(cost[i, j])) for i, j in K.assign(-cost)]
 
     return by_group(rows, by, ["side", "id"], kernel, f"{keys}, query_id long, target_id long, cost double")
@@ -108,7 +123,7 @@ def rolled_up(rows: DataFrame, sequence: str, cls: str, parents: DataFrame) -> D
     seq = rows.groupBy(sequence, cls).agg(*sums).select(F.lit("sequence").alias("level"), F.concat_ws("/", sequence, cls).alias("name"), *[c for c in rows.columns if c not in (sequence, cls)])
     one = rows.groupBy(cls).agg(*sums)
     by_class = one.select(F.lit("class").alias("level"), F.col(cls).cast("string").alias("name"), *[c for c in one.columns if c != cls])
-    top = one.join(F.broadcast(parents), cls).groupBy("parent").agg(*[F.sum(c).alias(c) for c in one.columns if c != cls])
+    top = one.join(parents, cls).groupBy("parent").agg(*[F.sum(c).alias(c) for c in one.columns if c != cls])
     return seq.unionByName(by_class).unionByName(top.select(F.lit("parent").alias("level"), F.col("parent").cast("string").alias("name"), *[c for c in one.columns if c != cls]))
 
 

@@ -111,22 +111,139 @@ def ap_matches(rows: DataFrame, by: list[str], keys: str, most: int = 100) -> Da
     return by_group(rows, by, ["side", "id"], kernel, f"{keys}, thr double, id long, score double, hit boolean")
 
 
+#: Area ranges in pixels, and numbers of detections an image is judged by: fixed values.
+AREAS = (("all", 0.0, 1e10), ("small", 0.0, 32.0**2), ("medium", 32.0**2, 96.0**2), ("large", 96.0**2, 1e10))
+MOST_DETECTIONS = (1, 10, 100)
+
+
+def coco_matches(rows: DataFrame, by: list[str], keys: str, areas: tuple = AREAS, most: int = 100) -> DataFrame:
+    """by, area, thr, id, rank, score, hit: as `ap_matches`, for each area range; detections that count neither way are left out.
+
+    Ground truth outside the range, or marked by a column `crowd`, may be matched but doesn't count, nor does its detection; one that counts is
+    preferred. Unmatched detections outside the range don't count. A crowd may match several, by the share of the detection inside it.
+    """
+    crowds = "crowd" in rows.columns
+
+    def kernel(key: tuple, c: dict) -> list[tuple]:
+        sides = list(zip(c["side"], c["box"], c["score"], c["id"], c["crowd"] if crowds else [False] * len(c["id"]), strict=True))
+        g, crowd = _boxes([b for s, b, *_ in sides if s == 0]), np.array([bool(x) for s, _, _, _, x in sides if s == 0], bool)
+        dets = sorted(((-p, i, b) for s, b, p, i, _ in sides if s == 1), key=lambda x: x[:2])[:most]
+        d = _boxes([b for _, _, b in dets])
+        size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+        ious = box_ious(d, g)
+        if crowd.any():
+            wide = np.minimum(d[:, None, 2:], g[None, :, 2:]) - np.maximum(d[:, None, :2], g[None, :, :2])
+            ious = np.where(crowd[None], wide.clip(0).prod(2) / np.maximum(size(d), EPS)[:, None], ious)
+        out, near, size_g, size_d = [], ious.tolist(), size(g).tolist(), size(d).tolist()
+        many = crowd.tolist()
+        for name, low, high in areas:
+            aside = [c or not low <= x <= high for c, x in zip(many, size_g, strict=True)]
+            for t in IOU_THRESHOLDS:
+                taken: set[int] = set()
+                least = min(t, 1 - 1e-10)
+                for k, (p, i, _) in enumerate(dets):
+                    # One that counts before one that doesn't, then by IoU; of equals the last, as each later one that is no worse takes over.
+                    best = max(((not aside[j], v, j) for j, v in enumerate(near[k]) if v >= least and (many[j] or j not in taken)), default=None)
+                    if best:
+                        taken.add(best[2])
+                        if best[0]:
+                            out.append((*key, name, t, i, k + 1, -p, True))
+                    elif low <= size_d[k] <= high:
+                        out.append((*key, name, t, i, k + 1, -p, False))
+        return out
+
+    return by_group(rows, by, ["side", "id"], kernel, f"{keys}, area string, thr double, id long, rank int, score double, hit boolean")
+
+
+def truths_by_area(rows: DataFrame, cat: list[str], areas: tuple = AREAS) -> DataFrame:
+    """cat, area, n_gt: ground truth that counts in each range."""
+    b = F.col("box")
+    size = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+    g = rows.where(F.col("side") == 0)
+    g = g.where(~F.coalesce(F.col("crowd"), F.lit(False))) if "crowd" in rows.columns else g
+    within = F.array_compact(F.array(*[F.when((size >= low) & (size <= high), F.lit(name)) for name, low, high in areas]))
+    return g.select(*cat, F.explode(within).alias("area")).groupBy(*cat, "area").agg(F.count("*").alias("n_gt"))
+
+
+def coco_summary(matches: DataFrame, totals: DataFrame, cat: list[str], order: list[str], most: tuple = MOST_DETECTIONS) -> DataFrame:
+    """metric, value: AP, AP50, AP75, AP by area, AR by number of detections and by area, as means over categories that have ground truth.
+
+    matches as `coco_matches`, with the columns of cat; totals as `truths_by_area`. A metric without any such category is -1.
+    """
+    ap = average_precision(matches, totals, [*cat, "area"], order)
+    ap = totals.select(*cat, "area").crossJoin(matches.sparkSession.createDataFrame([(t,) for t in IOU_THRESHOLDS], "thr double")).join(ap, [*cat, "area", "thr"], "left").na.fill(0.0, ["ap"])
+    limit = F.explode(F.array(*[F.lit(m) for m in most])).alias("most")
+    hits = matches.select(*cat, "area", "thr", "rank", "hit", limit).where("rank <= most AND hit").groupBy(*cat, "area", "thr", "most").agg(F.count("*").alias("tp"))
+    spine = totals.crossJoin(matches.sparkSession.createDataFrame([(t, m) for t in IOU_THRESHOLDS for m in most], "thr double, most int"))
+    ar = spine.join(hits, [*cat, "area", "thr", "most"], "left").withColumn("ar", F.coalesce("tp", F.lit(0)) / F.col("n_gt"))
+    named = [("AP", ap, "area = 'all'", "ap"), ("AP50", ap, "area = 'all' AND thr = 0.5", "ap"), ("AP75", ap, "area = 'all' AND thr = 0.75", "ap")]
+    named += [(f"AP_{a}", ap, f"area = '{a}'", "ap") for a, *_ in AREAS[1:]]
+    named += [(f"AR{m}", ar, f"area = 'all' AND most = {m}", "ar") for m in most]
+    named += [(f"AR_{a}", ar, f"area = '{a}' AND most = {max(most)}", "ar") for a, *_ in AREAS[1:]]
+    each = lambda rows, column: rows.agg(*[F.coalesce(F.avg(F.when(F.expr(cond), F.col(column))), F.lit(-1.0)).alias(name) for name, _, cond, c in named if c == column])
+    tall = lambda wide: wide.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in wide.columns]), F.array(*wide.columns))).alias("metric", "value"))
+    return tall(each(ap, "ap")).unionByName(tall(each(ar, "ar")))
+
+
+def rarity_average(ap: DataFrame, images: DataFrame, cat: str, rare: int = 10, common: int = 100) -> DataFrame:
+    """bucket, ap, n: mean AP of categories on up to `rare` images, up to `common`, and more; and `all`, the mean of the buckets.
+
+    ap: cat, ap; images: cat, n_images.
+    """
+    kind = F.when(F.col("n_images") <= rare, "rare").when(F.col("n_images") <= common, "common").otherwise("frequent")
+    per = ap.join(images, cat).groupBy(kind.alias("bucket")).agg(F.avg("ap").alias("ap"), F.count("*").alias("n"))
+    return per.unionByName(per.agg(F.lit("all").alias("bucket"), F.avg("ap").alias("ap"), F.sum("n").alias("n")))
+
+
+#: Score ranges that detections are ranked in side by side, for each unit of score.
+RANGES = 1024
+
+
 def average_precision(matches: DataFrame, totals: DataFrame, cat: list[str], order: list[str], points: int = 101) -> DataFrame:
     """cat, thr, ap: precision at `points` recalls, from detections ranked over all images.
 
-    totals: cat, n_gt. Precision at a recall is the best at it or beyond; 0 where it is never reached.
+    totals: cat, n_gt. Precision at a recall is the best at it or beyond; 0 where it is never reached. Detections are ranked within ranges of their
+    score, and the sums of the ranges above are added, so that no category is ordered in one task.
     """
-    w = Window.partitionBy(*cat, "thr").orderBy(F.desc("score"), *order)
-    n = F.row_number().over(w)
-    tp = F.sum(F.col("hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = matches.withColumns({"_n": n, "_tp": tp}).join(F.broadcast(totals), cat)
+    key = [*cat, "thr"]
+    m = matches.withColumns({"_range": F.floor(F.col("score") * RANGES), "_hit": F.col("hit").cast("long")})
+    sums = m.groupBy(*key, "_range").agg(F.count("*").alias("_n0"), F.sum("_hit").alias("_tp0"))
+    above = Window.partitionBy(*key).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*key, "_range", F.coalesce(F.sum("_n0").over(above), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_tp0").over(above), F.lit(0)).alias("_tp0"))
+    w = Window.partitionBy(*key, "_range").orderBy(F.desc("score"), *order)
+    ranked = m.withColumns({"_n": F.row_number().over(w), "_tp": F.sum("_hit").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    ranked = ranked.join(sums, [*key, "_range"]).withColumns({"_n": F.col("_n") + F.col("_n0"), "_tp": F.col("_tp") + F.col("_tp0")}).join(totals, cat)
     curve = ranked.withColumns({"_recall": F.col("_tp") / F.col("n_gt"), "_precision": F.col("_tp") / F.col("_n")})
     # Each detection serves the recall points up to its recall: the highest point is enough, the envelope does the rest.
     at = F.floor(F.col("_recall") * (points - 1) + 1e-9).cast("int")
-    top = curve.groupBy(*cat, "thr", at.alias("_at")).agg(F.max("_precision").alias("_p"))
-    down = Window.partitionBy(*cat, "thr").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
-    env = top.withColumns({"_env": F.max("_p").over(down), "_below": F.coalesce(F.lead("_at").over(Window.partitionBy(*cat, "thr").orderBy(F.desc("_at"))), F.lit(-1))})
-    return env.groupBy(*cat, "thr").agg((F.sum(F.col("_env") * (F.col("_at") - F.col("_below"))) / points).alias("ap"))
+    top = curve.groupBy(*key, at.alias("_at")).agg(F.max("_precision").alias("_p"))
+    down = Window.partitionBy(*key).orderBy(F.desc("_at"))
+    env = top.withColumns({"_env": F.max("_p").over(down.rowsBetween(Window.unboundedPreceding, 0)), "_below": F.coalesce(F.lead("_at").over(down), F.lit(-1))})
+    return env.groupBy(*key).agg((F.sum(F.col("_env") * (F.col("_at") - F.col("_below"))) / points).alias("ap"))
+
+
+#: The catalogue of metrics: seven of the data set, averaged over thresholds and at two of them, and five of images. Fixed names and order.
+_DATA = ("cgF1", "precision", "recall", "F1", "positive_macro_F1", "positive_micro_F1", "positive_micro_precision")
+_IMAGE = ("IL_precision", "IL_recall", "IL_F1", "IL_FPR", "IL_MCC")
+METRICS = tuple((m, m in _IMAGE, None) for m in _DATA + _IMAGE) + tuple((m, False, t) for t in (0.5, 0.75) for m in _DATA)
+#: Where `cgf1_dataset` has a metric.
+_COLUMNS = dict(zip(_DATA + _IMAGE, ("cgf1", "precision", "recall", "f1", "positive_macro_f1", "positive_micro_f1", "positive_precision", "il_precision", "il_recall", "il_f1", "il_fpr", "il_mcc"), strict=True))
+
+
+def metric_index(name: str, threshold: float | None = None) -> int:
+    """The place of a metric in `METRICS`."""
+    for i, (n, _, t) in enumerate(METRICS):
+        if (n, t) == (name, threshold):
+            return i
+    raise ValueError(f"no metric {name} at {threshold}")
+
+
+def catalogue(dataset: DataFrame) -> DataFrame:
+    """place, name, threshold, value of all metrics, from the rows of `cgf1_dataset`, one for each threshold."""
+    at = {None: F.lit(True), 0.5: F.abs(F.col("thr") - 0.5) < 1e-9, 0.75: F.abs(F.col("thr") - 0.75) < 1e-9}
+    values = dataset.agg(*[F.avg(F.when(at[t], F.col(_COLUMNS[n]))).alias(f"m{i}") for i, (n, _, t) in enumerate(METRICS)])
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), F.lit(t).cast("double").alias("threshold"), F.col(f"m{i}").alias("value")) for i, (n, _, t) in enumerate(METRICS)]
+    return values.select(F.inline(F.array(*rows)))
 
 
 def _sequence(c: dict):

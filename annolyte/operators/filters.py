@@ -131,3 +131,77 @@ def with_truth(dets: DataFrame, gt: DataFrame, by: list[str]) -> DataFrame:
 def merged_categories(rows: DataFrame, names: dict, category: str = "category_id") -> DataFrame:
     known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
     return rows if known is None else rows.withColumn(category, F.coalesce(F.try_element_at(known, F.col(category)), F.col(category)))
+
+
+def without_empty_geometric(queries: DataFrame, outputs: DataFrame, box: str = "input_box") -> DataFrame:
+    """Without geometric queries (text "geometric", with an input box) that have no output left."""
+    gone = queries.where(F.col(box).isNotNull() & (F.col("text") == "geometric")).select("query_id").join(outputs.select("query_id").distinct(), "query_id", "left_anti")
+    return queries.join(gone, "query_id", "left_anti")
+
+
+def listed(rows: DataFrame, categories: list, category: str = "category_id") -> DataFrame:
+    """Rows of categories on the list."""
+    return rows.where(F.col(category).isin(categories))
+
+
+def split_by_size(regions: DataFrame, width: float, height: float, box: str = "box") -> tuple[DataFrame, DataFrame]:
+    """(large, small): a region wider or higher than the target is large."""
+    b = F.col(box)
+    large = (b["x1"] - b["x0"] > width) | (b["y1"] - b["y0"] > height)
+    return regions.where(large), regions.where(~large)
+
+
+def valid_masks(preds: DataFrame, by: list[str], mask: str = "mask", least: int = 5) -> DataFrame:
+    """Predictions by score, highest first, without encoded masks shorter than `least` characters; place counts those left."""
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), "pred_id")
+    return preds.where(F.length(mask) >= least).withColumn("place", F.row_number().over(w) - 1)
+
+
+def excluded_images(truths: list[DataFrame], image: str = "image_id", flag: str = "is_instance_exhaustive") -> DataFrame:
+    """Images that any of the ground truths does not annotate exhaustively."""
+    rows = None
+    for t in truths:
+        some = t.where(~F.col(flag)).select(image)
+        rows = some if rows is None else rows.union(some)
+    return rows.distinct()
+
+
+def evaluated_images(truths: list[DataFrame], image: str = "image_id", flag: str = "is_instance_exhaustive") -> DataFrame:
+    """Images of the first ground truth that it and all others annotate exhaustively."""
+    mine = truths[0].where(F.col(flag)).select(image)
+    return mine.join(excluded_images(truths[1:], image, flag), image, "left_anti") if len(truths) > 1 else mine
+
+
+def loaded_videos(queries: DataFrame, objects: DataFrame, most: int, force_exhaustive: bool = False, video: str = "video_id") -> DataFrame:
+    """For each video asked for, the queries of the first one from it on, around the end, that has `most` masklets at most.
+
+    Masklets are the objects of a video's first image. Adds asked (the video asked for); queries come with place, by processing order. Where every
+    video has too many, none are returned. most 0 or less: no limit.
+    """
+    counts = objects.where("image_id = 0").groupBy(video).agg(F.count("*").alias("_n"))
+    videos = queries.select(video).distinct().join(counts, video, "left")
+    fits = (F.coalesce("_n", F.lit(0)) <= most) if most > 0 else F.lit(True)
+    # The next that fits, forwards; past the last one it is the first that fits of all.
+    one = videos.withColumn("_ok", F.when(fits, F.col(video)))
+    # Videos are dealt into ranges of 1,000 ids; only ranges and rows within a range are ordered.
+    part = F.floor(F.col(video) / 1000)
+    down = Window.partitionBy("_p").orderBy(F.desc(video)).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = one.withColumn("_p", part).groupBy("_p").agg(F.min("_ok").alias("_first"))
+    later = ranges.select(F.col("_p"), F.min("_first").over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    first = ranges.agg(F.min("_first").alias("_start"))
+    found = one.withColumn("_p", part).withColumn("_near", F.min("_ok").over(down)).join(later, "_p").join(F.broadcast(first))
+    found = found.select(F.col(video).alias("asked"), F.coalesce("_near", "_later", "_start").alias(video)).where(F.col(video).isNotNull())
+    q = queries.withColumn("is_exhaustive", F.lit(True)) if force_exhaustive else queries
+    place = F.row_number().over(Window.partitionBy("asked").orderBy("query_processing_order", "query_id")) - 1
+    return found.join(q, video).withColumn("place", place)
+
+
+def edited(rows: DataFrame, selected: list | None = None, deleted: list | None = None, key: str = "shape_id") -> DataFrame:
+    """An editor's list after deletions, with is_selected."""
+    left = rows.where(~F.col(key).isin(deleted)) if deleted else rows
+    return left.withColumn("is_selected", F.col(key).isin(selected) if selected else F.lit(False))
+
+
+def remapped_name(video_id: Column, name: Column) -> Column:
+    """File names that are unique after videos are numbered anew: fixed format (H5)."""
+    return F.format_string("remapped_vid_%012d/%s", video_id, name)

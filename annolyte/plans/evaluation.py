@@ -68,6 +68,29 @@ def _(spark, sf_dir):
     return E.average_precision(m, n, ["cat"], ["case_id", "id"])
 
 
+@register("coco_summary")
+def _(spark, sf_dir):
+    rows = _images(spark, sf_dir)
+    cat = (F.col("case_id") % 4).alias("cat")
+    m = E.coco_matches(rows, ["case_id"], "case_id long").select("*", cat)
+    return E.coco_summary(m, E.truths_by_area(rows.select("*", cat), ["cat"]), ["cat"], ["case_id", "id"])
+
+
+@register("rarity_average")
+def _(spark, sf_dir):
+    """Line numbers are categories; those that few images have are rare."""
+    rows = _images(spark, sf_dir)
+    m = E.ap_matches(rows, ["case_id"], "case_id long").withColumn("cat", F.col("case_id") % 16)
+    truth = rows.where("side = 0").withColumn("cat", F.col("case_id") % 16)
+    ap = E.average_precision(m, truth.groupBy("cat").agg(F.count("*").alias("n_gt")), ["cat"], ["case_id", "id"]).groupBy("cat").agg(F.avg("ap").alias("ap"))
+    return E.rarity_average(ap, truth.groupBy("cat").agg((F.count_distinct("case_id") * F.col("cat")).alias("n_images")).select("cat", "n_images"), "cat", 2000, 8000)
+
+
+@register("metric_catalogue")
+def _(spark, sf_dir):
+    return E.catalogue(E.cgf1_dataset(E.cgf1_images(_images(spark, sf_dir), ["case_id"], "case_id long")))
+
+
 def _tracks(spark, sf_dir):
     v, f = F.floor(F.col("case_id") / 320).alias("video_id"), (F.floor(F.col("case_id") / 32) % 10).alias("frame")
 
@@ -131,7 +154,7 @@ PART = "case_id long, partition_id long, n long, x0 double, y0 double, x1 double
 
 
 def partitions(rows, fov=(400.0, 400.0)):
-    """Regions of interest clustered by case; those larger than the field are left out."""
+    """Regions of interest clustered by case; those larger than the field are left out here and reported by `oversized`."""
 
     def kernel(key, c):
         keep = [(i, b) for i, *b in zip(c["shape_id"], c["x0"], c["y0"], c["x1"], c["y1"], strict=True) if b[2] - b[0] <= fov[0] and b[3] - b[1] <= fov[1]]
@@ -144,6 +167,16 @@ def partitions(rows, fov=(400.0, 400.0)):
     return by_group(rows, ["case_id"], ["shape_id"], kernel, PART)
 
 
+def oversized(rows, fov=(400.0, 400.0)):
+    """Regions that no field of view holds: must be none before partitions are cut out."""
+    return rows.where((F.col("x1") - F.col("x0") > fov[0]) | (F.col("y1") - F.col("y0") > fov[1]))
+
+
+@register("oversized_regions", f"{WITH} SELECT case_id, shape_id FROM shapes WHERE (x1 - x0) * 2 > 100 OR (y1 - y0) * 2 > 80")
+def _(spark, sf_dir):
+    return oversized(_regions(spark, sf_dir), (100.0, 80.0)).select("case_id", "shape_id")
+
+
 @register("chc_cluster")
 def _(spark, sf_dir):
     return partitions(_regions(spark, sf_dir))

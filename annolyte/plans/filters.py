@@ -165,3 +165,79 @@ def _(spark, sf_dir):
     ids = F.transform(F.split("text", " "), lambda w: F.length(w) + 1)
     c = X.context(ids, 49406, 49407, 16)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.filter(c, lambda i: i != 0)).cast("long").alias("used"), F.size(c).cast("long").alias("n"))
+
+
+@register("evaluated_images", "SELECT o_orderkey AS image_id FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0")
+def _(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    truths = [o.select(F.col("o_orderkey").alias("image_id"), (F.col("o_orderkey") % m != 0).alias("is_instance_exhaustive")) for m in (3, 5, 7)]
+    return Q.evaluated_images(truths)
+
+
+@register("excluded_images", "SELECT o_orderkey AS image_id FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0")
+def _(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return Q.excluded_images([o.select(F.col("o_orderkey").alias("image_id"), (F.col("o_orderkey") % m != 0).alias("is_instance_exhaustive")) for m in (5, 7)])
+
+
+@register("filter_geometric", f"{WITH} SELECT o_orderkey AS query_id FROM orders WHERE NOT (o_orderkey % 4 = 0 AND o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT case_id FROM shapes WHERE score > 70))")
+def _(spark, sf_dir):
+    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 4 == 0, "geometric").otherwise("wire").alias("text"), F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit(1.0))).alias("input_box"))
+    return Q.without_empty_geometric(q, shapes(spark, sf_dir).where("score > 70").select(F.col("case_id").alias("query_id"))).select("query_id")
+
+
+@register("semantic_only", "SELECT o_orderkey AS query_id FROM orders WHERE o_orderkey % 3 <> 0")
+def _(spark, sf_dir):
+    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit(1.0))).alias("input_box"))
+    return Q.semantic_only(q).select("query_id")
+
+
+@register("exhaustive_queries", "SELECT 'instance' AS kind, o_orderkey AS query_id FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT 'pixel', o_orderkey FROM orders WHERE o_orderkey % 3 <> 2")
+def _(spark, sf_dir):
+    flag = F.when(F.col("o_orderkey") % 3 == 1, True).when(F.col("o_orderkey") % 3 == 2, False)
+    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), flag.alias("is_exhaustive"), flag.alias("is_pixel_exhaustive"))
+    made = [Q.exhaustive(q, k).select(F.lit(k).alias("kind"), "query_id") for k in ("instance", "pixel")]
+    return made[0].unionByName(made[1])
+
+
+@register("category_whitelist", f"{WITH} SELECT case_id, shape_id FROM shapes WHERE line IN (1, 4, 6)")
+def _(spark, sf_dir):
+    return Q.listed(shapes(spark, sf_dir), [1, 4, 6], "line").select("case_id", "shape_id")
+
+
+@register("roi_split", f"{WITH} SELECT case_id, shape_id, x1 - x0 > 50 OR y1 - y0 > 40 AS large FROM shapes")
+def _(spark, sf_dir):
+    from ..functions import box as B
+
+    large, small = Q.split_by_size(shapes(spark, sf_dir).withColumn("box", B.box("x0", "y0", "x1", "y1")), 50, 40)
+    return large.select("case_id", "shape_id", F.lit(True).alias("large")).unionByName(small.select("case_id", "shape_id", F.lit(False).alias("large")))
+
+
+@register("valid_masks", f"{WITH} SELECT case_id, pred_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, pred_id) - 1 AS place FROM preds WHERE score % 9 >= 5")
+def _(spark, sf_dir):
+    p = preds(spark, sf_dir).withColumn("mask", F.repeat(F.lit("a"), (F.col("score") % 9).cast("int")))
+    return Q.valid_masks(p, ["case_id"]).select("case_id", "pred_id", F.col("place").cast("long").alias("place"))
+
+
+@register(
+    "loaded_videos",
+    f"""{WITH}, n AS (SELECT case_id AS video_id, count(*) FILTER (WHERE score % 2 = 0) AS n FROM shapes GROUP BY ALL), ok AS (SELECT video_id FROM n WHERE n <= 1),
+        f AS (SELECT a.video_id AS asked, coalesce(b.video_id, (SELECT min(video_id) FROM ok)) AS video_id FROM n a ASOF LEFT JOIN ok b ON a.video_id <= b.video_id)
+        SELECT asked, f.video_id, shape_id AS query_id, CAST(row_number() OVER (PARTITION BY asked ORDER BY score, shape_id) - 1 AS BIGINT) AS place, true AS is_exhaustive FROM f JOIN shapes s ON s.case_id = f.video_id""",
+)
+def _(spark, sf_dir):
+    s = shapes(spark, sf_dir)
+    q = s.select(F.col("case_id").alias("video_id"), F.col("shape_id").alias("query_id"), F.col("score").alias("query_processing_order"), F.col("is_error").alias("is_exhaustive"))
+    o = s.select(F.col("case_id").alias("video_id"), (F.col("score") % 2).alias("image_id"))
+    return Q.loaded_videos(q, o, 1, True).select("asked", "video_id", "query_id", F.col("place").cast("long").alias("place"), "is_exhaustive")
+
+
+@register("editor_list", f"{WITH} SELECT case_id, shape_id, shape_id IN (1, 3) AS is_selected FROM shapes WHERE shape_id <> 2")
+def _(spark, sf_dir):
+    return Q.edited(shapes(spark, sf_dir), [1, 3], [2]).select("case_id", "shape_id", "is_selected")
+
+
+@register("remapped_names", "SELECT o_orderkey, 'remapped_vid_' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '/' || o_orderpriority AS name FROM orders")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", Q.remapped_name(F.col("o_orderkey"), F.col("o_orderpriority")).alias("name"))
+

@@ -123,3 +123,19 @@ def _(spark, sf_dir):
 @register("mask_areas", f"{WITH} SELECT case_id, shape_id, y0 + y1 AS area FROM shapes")
 def _(spark, sf_dir):
     return shapes(spark, sf_dir).select("case_id", "shape_id", C.mask_area(F.array("x0", "y0", "x1", "y1", "line")).alias("area"))
+
+
+@register(
+    "track_results",
+    f"""{WITH}, o AS (SELECT case_id // 320 AS video_id, line AS track_id, (case_id // 32) % 10 AS frame, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(score) AS score FROM shapes GROUP BY ALL),
+        s AS (SELECT video_id, track_id, g AS frame FROM (SELECT DISTINCT video_id, track_id FROM o), range(0, 10) t(g))
+        SELECT s.video_id, s.track_id, CAST(max(score) OVER (PARTITION BY s.video_id, s.track_id) AS DOUBLE) AS score, CAST(s.frame AS BIGINT) AS frame, CAST(coalesce(x0, 0) AS DOUBLE) AS x, CAST(coalesce(x1 - x0, 0) AS DOUBLE) AS w, CAST(coalesce((x1 - x0) * (y1 - y0), 0) AS DOUBLE) AS area
+        FROM s LEFT JOIN o USING (video_id, track_id, frame)""",
+)
+def _(spark, sf_dir):
+    s = shapes(spark, sf_dir).groupBy(F.floor(F.col("case_id") / 320).alias("video_id"), F.col("line").alias("track_id"), (F.floor(F.col("case_id") / 32) % 10).alias("frame"))
+    g = s.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("score").cast("double").alias("score"))
+    rows = g.select("video_id", "track_id", F.col("track_id").alias("category_id"), "frame", "score", F.struct("x0", "y0", "x1", "y1").alias("box"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), F.lit(None).cast("string").alias("segmentation"))
+    t = C.track_results(rows, g.select("video_id").distinct().withColumn("n_frames", F.lit(10)))
+    flat = t.select("video_id", "track_id", "score", F.posexplode(F.arrays_zip("bboxes", "areas")).alias("frame", "z"))
+    return flat.select("video_id", "track_id", "score", F.col("frame").cast("long").alias("frame"), F.col("z.bboxes")[0].alias("x"), F.col("z.bboxes")[2].alias("w"), F.col("z.areas").alias("area"))

@@ -458,3 +458,15 @@ def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return nearest(q, e.select("vec_id", "embedding"), "query_id", "vec_id", 10).select("query_id", "vec_id", F.round("sim", 6).alias("sim"))
+
+
+@register(
+    "centre_similarity",
+    f"""{WITH} SELECT s.case_id, s.shape_id, p.pred_id, round(greatest(0, 1 - sqrt(((s.x0 + s.x1) / 2.0 - (p.x0 + p.x1) / 2.0) ** 2 + ((s.y0 + s.y1) / 2.0 - (p.y0 + p.y1) / 2.0) ** 2) / 40.0), 6) AS sim,
+        (s.x0 + s.x1) / 2.0 - p.x0 AS left, p.y1 - (s.y0 + s.y1) / 2.0 AS bottom FROM shapes s JOIN preds p USING (case_id)""",
+)
+def _(spark, sf_dir):
+    s, p = _shapes(spark, sf_dir).select("case_id", "shape_id", F.col("box").alias("a")), _preds(spark, sf_dir).select("case_id", "pred_id", F.col("box").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    far = B.to_points(b, (a["x0"] + a["x1"]) / 2, (a["y0"] + a["y1"]) / 2)
+    return s.join(p, "case_id").select("case_id", "shape_id", "pred_id", F.round(B.centre_similarity(a, b, 40.0), 6).alias("sim"), far["left"].alias("left"), far["bottom"].alias("bottom"))

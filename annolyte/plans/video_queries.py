@@ -83,5 +83,5 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     g = shapes(spark, sf_dir).groupBy("case_id").agg(F.sort_array(F.collect_list("shape_id")).alias("ids")).withColumn("chunk", F.col("case_id") % 8)
     width = g.groupBy("chunk").agg(F.max(F.size("ids")).alias("_w"))
-    p = g.join(F.broadcast(width), "chunk").withColumn("ids", F.concat("ids", F.array_repeat(F.lit(0).cast("long"), F.col("_w") - F.size("ids"))))
+    p = g.join(width, "chunk").withColumn("ids", F.concat("ids", F.array_repeat(F.lit(0).cast("long"), F.col("_w") - F.size("ids"))))
     return p.groupBy("chunk").agg(F.max(F.size("ids")).cast("long").alias("width"), F.count("*").alias("rows"))

@@ -87,7 +87,7 @@ def video_frames(videos: DataFrame) -> DataFrame:
 
 
 def track_annotations(tracks: DataFrame, images: DataFrame, pred: bool = False) -> DataFrame:
-    """Per-frame rows of tracks; frames without a box are skipped. pred: also zero boxes, and areas are completed from boxes.
+    """Per-frame rows of tracks; frames without a box are skipped, and a box on a frame that its video lacks raises an error. pred: also zero boxes, and areas are completed from boxes.
 
     tracks as TRACKS, images as `video_frames`.
     """
@@ -96,7 +96,9 @@ def track_annotations(tracks: DataFrame, images: DataFrame, pred: bool = False)
     t = t.select("*", F.col("z.bboxes").alias("bbox"), F.col("z.areas").alias("area")).drop("z").where("bbox IS NOT NULL")
     if pred:
         t = t.where(~F.forall("bbox", lambda v: v <= 0)).withColumn("area", F.when(F.col("area") > 0, F.col("area")).otherwise(F.col("bbox")[2] * F.col("bbox")[3]))
-    joined = t.join(images.select("dataset", "video_id", "frame_index", F.col("id").alias("image_id")), ["dataset", "video_id", "frame_index"])
+    joined = t.join(images.select("dataset", "video_id", "frame_index", F.col("id").alias("image_id")), ["dataset", "video_id", "frame_index"], "left")
+    missing = F.raise_error(F.concat(F.lit("no frame "), F.col("frame_index").cast("string"), F.lit(" in video "), F.col("video_id").cast("string"))).cast("bigint")
+    joined = joined.withColumn("image_id", F.when(F.col("image_id").isNull(), missing).otherwise(F.col("image_id")))
     return running_ids(joined, ["dataset"], "video_id", ["frame_index", "track_id"], "id")
 
 
@@ -127,3 +129,58 @@ def detections(spark: SparkSession, path: str, sep: str = ",", time_col: int = 0
     for column, values in (crowd_cols or {}).items():
         crowd = crowd | F.col("values")[column].isin(*values)
     return rows.select(F.col("values")[time_col].cast("long").alias("timestep"), F.col("values")[id_col].cast("long").alias("id"), "values", crowd.alias("is_crowd"))
+
+
+def load_results(results: DataFrame, images: DataFrame) -> DataFrame:
+    """Result rows completed as `completed` does; rows of images that the data set lacks raise an error."""
+    known = images.select("dataset", F.col("id").alias("image_id"), F.lit(True).alias("_known"))
+    r = results.join(known, ["dataset", "image_id"], "left")
+    error = F.raise_error(F.concat(F.lit("results of an unknown image "), F.col("image_id").cast("string"))).cast("bigint")
+    return completed(r.withColumn("image_id", F.when(F.col("_known"), F.col("image_id")).otherwise(error)).drop("_known"))
+
+
+def track_results(frames: DataFrame, n_frames: DataFrame, per_frame_scores: bool = False) -> DataFrame:
+    """video_id, category_id, bboxes (xywh), score, segmentations, areas, one row a track, as the writer of video results has them.
+
+    frames: video_id, track_id, category_id, frame, score, box, area, segmentation; n_frames: video_id, n_frames. Frames without the track have a zero box,
+    no segmentation and area 0. Adds per_frame_scores if asked for.
+    """
+    b = F.col("box")
+    one = F.struct(F.array(*[v.cast("double") for v in (b["x0"], b["y0"], b["x1"] - b["x0"], b["y1"] - b["y0"])]).alias("bbox"), "segmentation", F.coalesce("area", F.lit(0.0)).cast("double").alias("area"))
+    t = frames.groupBy("video_id", "track_id").agg(F.max("category_id").alias("category_id"), F.max("score").alias("score"), F.map_from_entries(F.collect_list(F.struct(F.col("frame").cast("bigint"), one))).alias("_by"))
+    at = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_frames").cast("bigint") - 1), lambda f: F.try_element_at("_by", f))
+    t = t.join(n_frames, "video_id").withColumn("_at", at)
+    zero = F.array(*[F.lit(0.0)] * 4)
+    out = t.select(
+        "video_id", "track_id", "category_id", F.transform("_at", lambda x: F.coalesce(x["bbox"], zero)).alias("bboxes"), "score",
+        F.transform("_at", lambda x: x["segmentation"]).alias("segmentations"), F.transform("_at", lambda x: F.coalesce(x["area"], F.lit(0.0))).alias("areas"),
+    )
+    return out.withColumn("per_frame_scores", F.array_repeat("score", F.size("areas"))) if per_frame_scores else out
+
+
+def dialect(spark: SparkSession, path: str, among: str = ",;\t| ") -> str:
+    """The sign that parts columns: of those that cut the first lines into equally many columns the one that makes most (A10)."""
+    lines = [r[0] for r in spark.read.text(path).where(F.trim("value") != "").limit(20).collect()]
+    cut = {c: {len(x.strip().split(c)) for x in lines} for c in among}
+    fits = [(min(n), -among.index(c), c) for c, n in cut.items() if len(n) == 1 and min(n) > 1]
+    return max(fits)[2] if fits else ","
+
+
+def unzipped(spark: SparkSession, path: str, ending: str = ".txt") -> DataFrame:
+    """archive, name, value: the lines of text files in ZIP archives (A10). An archive is read in one task, as it can't be split."""
+    import io
+    import zipfile
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    for name in sorted(n for n in z.namelist() if n.endswith(ending)):
+                        lines = z.read(name).decode("utf-8", "replace").splitlines()
+                        yield pa.RecordBatch.from_arrays([pa.array([at] * len(lines), pa.string()), pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string())], ["archive", "name", "value"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "archive string, name string, value string")

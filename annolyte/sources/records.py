@@ -17,7 +17,7 @@ def video_phrase_queries(videos: DataFrame, pairs: DataFrame, categories: DataFr
 
     pairs: dataset, video_id, category_id, name. A pair whose name isn't its category's raises an error.
     """
-    j = pairs.join(F.broadcast(categories.select("dataset", F.col("id").alias("category_id"), F.col("name").alias("_name"))), ["dataset", "category_id"])
+    j = pairs.join(categories.select("dataset", F.col("id").alias("category_id"), F.col("name").alias("_name")), ["dataset", "category_id"])
     j = j.withColumn("text", F.when(F.col("name") == F.col("_name"), F.col("name")).otherwise(F.raise_error(F.concat(F.lit("unlike names of category "), F.col("category_id").cast("string")))))
     return j.join(videos.select("dataset", F.col("id").alias("video_id"), F.posexplode("file_names").alias("frame_index", "file_name")), ["dataset", "video_id"]).drop("name", "_name")
 
@@ -117,3 +117,56 @@ FEATURES = "log_case string, shape_id string, stroke_width double, stroke_length
 
 def read_features(spark, path: str) -> DataFrame:
     return spark.read.schema(FEATURES).option("header", True).csv(path)
+
+
+#: Order of the summary's fields that come first: fixed names. Others follow as they come.
+SUMMARY = "HOTA DetA AssA DetRe DetPr AssRe AssPr LocA OWTA HOTA(0) LocA(0) HOTALocA(0) MOTA MOTP MODA CLR_Re CLR_Pr MTR PTR MLR CLR_TP CLR_FN CLR_FP IDSW MT PT ML Frag sMOTA IDF1 IDR IDP IDTP IDFN IDFP Dets GT_Dets IDs GT_IDs".split()
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """One row of metrics as text: names, then values, parted by spaces, known fields first."""
+    names = [c for c in SUMMARY if c in summary.columns] + [c for c in summary.columns if c not in SUMMARY]
+    summary.select(*[F.col(f"`{c}`") for c in names]).coalesce(1).write.mode("overwrite").option("header", True).option("sep", " ").csv(path)
+
+
+def write_details(details: DataFrame, combined: DataFrame, path: str, seq: str = "seq") -> None:
+    """A row for each sequence, in order, then the one of all, named COMBINED. Both have the same metrics."""
+    rows = details.withColumn("_last", F.lit(0)).unionByName(combined.withColumn(seq, F.lit("COMBINED")).withColumn("_last", F.lit(1)))
+    names = [c for c in details.columns if c != seq]
+    ordered = rows.repartition(1).sortWithinPartitions("_last", seq)  # a row for each sequence of a data set
+    ordered.select(seq, *[F.col(f"`{c}`") for c in names]).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_details(spark, path: str, seq: str = "seq") -> DataFrame:
+    """The rows of `write_details` as numbers; the last is named COMBINED_SEQ. Rows without a sequence or of another length are left out."""
+    raw = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    raw = raw.where(F.col(seq).isNotNull() & (F.col(seq) != ""))
+    name = F.when(F.col(seq) == "COMBINED", "COMBINED_SEQ").otherwise(F.col(seq)).alias(seq)
+    return raw.select(name, *[F.col(f"`{c}`").cast("double").alias(c) for c in raw.columns if c != seq])
+
+
+def exemplars(spark, path: str) -> DataFrame:
+    """name (the folder), embedding, roi, wire_width of each exemplar_info.json below path; no width counts as 0."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="exemplar_info.json")
+    v = F.try_parse_json("value")
+    return raw.select(
+        _folder().alias("name"),
+        F.coalesce(F.try_variant_get(v, "$.image_embedding", "array<double>"), F.array().cast("array<double>")).alias("embedding"),
+        F.try_variant_get(v, "$.roi", "array<double>").alias("roi"),
+        F.coalesce(F.try_variant_get(v, "$['wire width']", "double"), F.lit(0.0)).alias("wire_width"),
+    )
+
+
+def log_cases(spark, path: str) -> DataFrame:
+    """name (the folder), exemplar, embedding of each label_clean.json below path."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="label_clean.json")
+    v = F.try_parse_json("value")
+    return raw.select(
+        _folder().alias("name"),
+        F.try_variant_get(v, "$.globalAttributes.exemplar_name", "string").alias("exemplar"),
+        F.coalesce(F.try_variant_get(v, "$.globalAttributes.image_embedding", "array<double>"), F.array().cast("array<double>")).alias("embedding"),
+    )
+
+
+def _folder():
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
