@@ -151,3 +151,11 @@ def unwrapped(rows: DataFrame, columns: list[str], made: dict[str, Column]) -> D
     # In two steps, so that no expression meets an input's column by the name of a column it reads.
     rows = rows.select(ROW, *[c.alias(f"_made_{i}") for i, c in enumerate(made.values())])
     return rows.select(*[field(c).alias(c) for c in columns if c not in made], *[F.col(f"_made_{i}").alias(n) for i, n in enumerate(made)])
+
+
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column's name begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix

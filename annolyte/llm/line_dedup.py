@@ -40,10 +40,10 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     return counts.where("_line <> ''").join(totals, "_host").where(F.col("_pages") > F.col("_total") * ratio).select("_host", "_line", "_pages")
 
 
-def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast: int = BROADCAST) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast: int = BROADCAST, prefix: str = "_") -> DataFrame:
     """docs with `_text` (the text without its boilerplate lines), `_lines` and `_dropped` (numbers of lines).
 
-    Every row stays, with all its columns; blank lines stay too. A null text gives a null `_text` with no lines; an empty one stays empty.
+    Every row stays, with all its columns, but for those of the three names; another prefix than `_` spares them. Blank lines stay too. A null text gives a null `_text` with no lines; an empty one stays empty.
     """
     bad = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
     text, own = field(text_col), F.coalesce(field(host_col), F.lit(""))
@@ -67,7 +67,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "s
     made = joined.withColumn("_kept", kept)
     n = F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(all_lines)).cast("long")
     return unwrapped(made, docs.columns, {
-        "_text": F.when(text.isNotNull(), F.array_join("_kept", "\n")),
-        "_lines": n,
-        "_dropped": F.when(n == 0, F.lit(0)).otherwise(F.size(all_lines) - F.size("_kept")).cast("long"),
+        f"{prefix}text": F.when(text.isNotNull(), F.array_join("_kept", "\n")),
+        f"{prefix}lines": n,
+        f"{prefix}dropped": F.when(n == 0, F.lit(0)).otherwise(F.size(all_lines) - F.size("_kept")).cast("long"),
     })

@@ -182,12 +182,13 @@ def forest_score(forest: list[Tree], features: Column) -> Column:
     return total / len(forest)
 
 
-def scan(docs: DataFrame, forest: list[Tree] | None = None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, forest: list[Tree] | None = None, text_col: str = "text", threshold: float = THRESHOLD, prefix: str = "_") -> DataFrame:
     """docs with `_candidates` (their number), `_findings` and `_redacted`.
 
     _findings: array<struct<start, length, value, score>>, in code points of the text, in order.
     _redacted: the text with [SECRET] in place of each finding; unchanged texts stay as they are.
-    Null texts have no findings and stay null. All rows and columns stay.
+    Null texts have no findings and stay null. All rows and columns stay, but for those of the three names; another prefix than
+    `_` spares them.
     """
     forest = default_forest(docs.sparkSession) if forest is None else forest
     text = field(text_col)
@@ -224,7 +225,7 @@ def scan(docs: DataFrame, forest: list[Tree] | None = None, text_col: str = "tex
     shown = F.transform("_scored", lambda x: F.when(x["score"] >= threshold, F.lit("[SECRET]")).otherwise(x["value"]))
     rebuilt = F.array_join(F.zip_with("_parts", F.concat(shown, F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
     return unwrapped(some, docs.columns, {
-        "_candidates": F.when(F.col("_values").isNull(), 0).otherwise(F.size("_values")).cast("long"),
-        "_findings": F.coalesce(kept, F.array().cast("array<struct<start: int, length: int, value: string, score: double>>")),
-        "_redacted": F.when(F.col("_values").isNull(), text).otherwise(rebuilt),
+        f"{prefix}candidates": F.when(F.col("_values").isNull(), 0).otherwise(F.size("_values")).cast("long"),
+        f"{prefix}findings": F.coalesce(kept, F.array().cast("array<struct<start: int, length: int, value: string, score: double>>")),
+        f"{prefix}redacted": F.when(F.col("_values").isNull(), text).otherwise(rebuilt),
     })
