@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Stages run one after another; what each returns is written as Parquet and read again as the
-documents of the next. All but the last return the columns of documents.
+documents of the next. All but the last return the columns of documents. Documents may have other columns of any
+name, which stay as they are; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolyte.llm.common import WORD, materialize, table, without_spaces
+from annolyte.llm.common import WORD, free_prefix, materialize, table, without_spaces
 from annolyte.llm.line_dedup import drop_boilerplate
 from annolyte.llm.near_dedup import keep_one_of_each
 from annolyte.llm.packing import pack
@@ -25,30 +26,44 @@ def _with_text(made: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts get the model's base score and stay. Rows that repeat are judged alike. Without labels nothing goes.
+    """
     ship(spark)
     model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return keep_nontoxic(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; every document stays."""
-    return _with_text(drop_boilerplate(docs), docs.columns, "_text")
+    """Boilerplate lines of a source go; every document stays.
+
+    Null texts stay null, documents without a source share one. Each row is a page of its host.
+    """
+    prefix = free_prefix(docs.columns)
+    return _with_text(drop_boilerplate(docs, prefix=prefix), docs.columns, f"{prefix}text")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, the one of least id; of rows that repeat an id one stays.
+
+    Texts without words are like no other and stay, as do rows without an id.
+    """
     ship(spark)
     return keep_one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
-    return _with_text(scan(docs), docs.columns, "_redacted")
+    """Secrets are replaced by a mark; every document stays. Null texts stay null."""
+    prefix = free_prefix(docs.columns)
+    return _with_text(scan(docs, prefix=prefix), docs.columns, f"{prefix}redacted")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins: doc_id, piece, start, length, shard, bin, fill, in words."""
+    """Pieces of documents in bins: doc_id, piece, start, length, shard, bin, fill, in words.
+
+    Texts without words are pieces of length 0. Rows that repeat are packed as often as they occur; null ids are dealt out by place.
+    """
     ship(spark)
     sized = docs.select(
         "doc_id",
@@ -67,7 +82,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: A fitted classifier, set joins and packing have no SQL form: tests hold the result against brute force.
+#: A fitted classifier, set joins and packing have no SQL form. Tests hold `run` against a plain version of all five stages.
 ORACLE_SQL = None
 
 
