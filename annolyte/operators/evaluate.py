@@ -116,6 +116,27 @@ AREAS = (("all", 0.0, 1e10), ("small", 0.0, 32.0**2), ("medium", 32.0**2, 96.0**
 MOST_DETECTIONS = (1, 10, 100)
 
 
+def judged(key: tuple, dets: list[tuple[int, float]], near: list[list[float]], size_d: list[float], size_g: list[float], many: list[bool], areas: tuple) -> list[tuple]:
+    """(key, area, thr, id, rank, score, hit) of the detections (id, -score), best first, that count in each area range.
+
+    near: their IoUs with all ground truth; many: ground truth that may be matched again and doesn't count.
+    """
+    out = []
+    for name, low, high in areas:
+        aside = [c or not low <= x <= high for c, x in zip(many, size_g, strict=True)]
+        for t in IOU_THRESHOLDS:
+            taken: set[int] = set()
+            least = min(t, 1 - 1e-10)
+            for k, (i, p) in enumerate(dets):
+                # One that counts before one that doesn't, then by IoU; of equals the last, as each later one that is no worse takes over.
+                best = max(((not aside[j], v, j) for j, v in enumerate(near[k]) if v >= least and (many[j] or j not in taken)), default=None)
+                if best:
+                    taken.add(best[2])
+                if best[0] if best else low <= size_d[k] <= high:
+                    out.append((*key, name, t, i, k + 1, -p, best is not None))
+    return out
+
+
 def coco_matches(rows: DataFrame, by: list[str], keys: str, areas: tuple = AREAS, most: int = 100) -> DataFrame:
     """by, area, thr, id, rank, score, hit: as `ap_matches`, for each area range; detections that count neither way are left out.
 
@@ -134,23 +155,7 @@ def coco_matches(rows: DataFrame, by: list[str], keys: str, areas: tuple = AREAS
         if crowd.any():
             wide = np.minimum(d[:, None, 2:], g[None, :, 2:]) - np.maximum(d[:, None, :2], g[None, :, :2])
             ious = np.where(crowd[None], wide.clip(0).prod(2) / np.maximum(size(d), EPS)[:, None], ious)
-        out, near, size_g, size_d = [], ious.tolist(), size(g).tolist(), size(d).tolist()
-        many = crowd.tolist()
-        for name, low, high in areas:
-            aside = [c or not low <= x <= high for c, x in zip(many, size_g, strict=True)]
-            for t in IOU_THRESHOLDS:
-                taken: set[int] = set()
-                least = min(t, 1 - 1e-10)
-                for k, (p, i, _) in enumerate(dets):
-                    # One that counts before one that doesn't, then by IoU; of equals the last, as each later one that is no worse takes over.
-                    best = max(((not aside[j], v, j) for j, v in enumerate(near[k]) if v >= least and (many[j] or j not in taken)), default=None)
-                    if best:
-                        taken.add(best[2])
-                        if best[0]:
-                            out.append((*key, name, t, i, k + 1, -p, True))
-                    elif low <= size_d[k] <= high:
-                        out.append((*key, name, t, i, k + 1, -p, False))
-        return out
+        return judged(key, [(i, p) for p, i, _ in dets], ious.tolist(), size(d).tolist(), size(g).tolist(), crowd.tolist(), areas)
 
     return by_group(rows, by, ["side", "id"], kernel, f"{keys}, area string, thr double, id long, rank int, score double, hit boolean")
 

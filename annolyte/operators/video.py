@@ -51,10 +51,15 @@ def video_teta(gt: DataFrame, preds: DataFrame, by: list[str], keys: str, thr: f
     return E.teta_combined(E.teta_sequences(rows, by, keys), [])
 
 
-def track_ap(gt: DataFrame, preds: DataFrame, by: list[str], keys: str) -> DataFrame:
-    """Average precision of whole tracks at ten thresholds: tracks match by their IoU over all frames, best score first.
+#: Ranges of the mean area of a track: fixed values.
+AREAS = (("all", 0.0, 1e10), ("small", 0.0, 128.0**2), ("medium", 128.0**2, 256.0**2), ("large", 256.0**2, 1e10))
 
-    gt: by, id, frame, box; preds: also score. A frame of one side adds its area to the union.
+
+def track_ap(gt: DataFrame, preds: DataFrame, by: list[str], keys: str, areas: tuple = AREAS, most: int = 100) -> DataFrame:
+    """by, area, thr, id, rank, score, hit of whole tracks: they match by their IoU over all frames, best score first, in each range of their mean area.
+
+    gt: by, id, frame, box; preds: also score. A frame of one side adds its area to the union. Totals come from `track_truths`, and
+    `evaluate.coco_summary` makes the metrics.
     """
 
     def kernel(key: tuple, c: dict) -> list[tuple]:
@@ -65,26 +70,28 @@ def track_ap(gt: DataFrame, preds: DataFrame, by: list[str], keys: str) -> DataF
             if s:
                 score[i] = max(p, score.get(i, p))
         area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+        mean = lambda t: sum(map(area, t.values())) / len(t)
 
         def iou(a: dict, b: dict) -> float:
             inter = sum(max(0.0, min(a[f][2], b[f][2]) - max(a[f][0], b[f][0])) * max(0.0, min(a[f][3], b[f][3]) - max(a[f][1], b[f][1])) for f in a.keys() & b.keys())
             union = sum(map(area, a.values())) + sum(map(area, b.values())) - inter
             return inter / union if union else 0.0
 
-        out = []
-        order = sorted(score, key=lambda i: (-score[i], i))
-        table = {(i, g): iou(tracks[1][i], t) for i in order for g, t in tracks[0].items()}
-        for t in E.IOU_THRESHOLDS:
-            free = set(tracks[0])
-            for i in order:
-                best = max(((table[i, g], -g) for g in free if table[i, g] >= t), default=None)
-                if best:
-                    free.discard(-best[1])
-                out.append((*key, t, i, float(score[i]), best is not None))
-        return out
+        dets = [(i, -score[i]) for i in sorted(score, key=lambda i: (-score[i], i))[:most]]
+        truth = list(tracks[0].values())
+        near = [[iou(tracks[1][i], t) for t in truth] for i, _ in dets]
+        return E.judged(key, dets, near, [mean(tracks[1][i]) for i, _ in dets], [mean(t) for t in truth], [False] * len(truth), areas)
 
     rows = gt.select(*by, F.lit(0).alias("side"), "id", "frame", "box", F.lit(1.0).alias("score")).unionByName(preds.select(*by, F.lit(1).alias("side"), "id", "frame", "box", F.col("score").cast("double")))
-    return by_group(rows, by, ["side", "id", "frame"], kernel, f"{keys}, thr double, id long, score double, hit boolean")
+    return by_group(rows, by, ["side", "id", "frame"], kernel, f"{keys}, area string, thr double, id long, rank int, score double, hit boolean")
+
+
+def track_truths(gt: DataFrame, by: list[str], cat: list[str], areas: tuple = AREAS) -> DataFrame:
+    """cat, area, n_gt: tracks by the range of their mean area. gt: by, cat, id, frame, box."""
+    b = F.col("box")
+    one = gt.groupBy(*dict.fromkeys([*by, *cat]), "id").agg(F.avg((b["x1"] - b["x0"]) * (b["y1"] - b["y0"])).alias("_a"))
+    within = F.array_compact(F.array(*[F.when((F.col("_a") >= low) & (F.col("_a") <= high), F.lit(name)) for name, low, high in areas]))
+    return one.select(*cat, F.explode(within).alias("area")).groupBy(*cat, "area").agg(F.count("*").alias("n_gt"))
 
 
 def merged(reports: list[tuple[str, DataFrame]], by: list[str]) -> DataFrame:

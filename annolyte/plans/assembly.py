@@ -18,12 +18,14 @@ def corners():
 
 
 
-@register("curation", f"""{MATCHED} SELECT case_id, 'gt' AS source, count(*) AS n FROM m GROUP BY case_id
-    UNION ALL SELECT p.case_id, 'model', count(*) FROM preds p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.case_id = p.case_id AND m.pred_id = p.pred_id) GROUP BY p.case_id""")
+@register("curation", f"""{MATCHED}, u AS (SELECT s.case_id, 'gt' AS source, s.shape_id AS gt_id, m.pred_id AS dt_id, s.x0, s.y1 FROM m JOIN shapes s USING (case_id, shape_id)
+    UNION ALL SELECT p.case_id, 'model', NULL, p.pred_id, p.x0, p.y1 FROM preds p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.case_id = p.case_id AND m.pred_id = p.pred_id))
+    SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY source, gt_id NULLS FIRST, dt_id) - 1 AS category_id FROM u""")
 def _(spark, sf_dir):
     g = shapes(spark, sf_dir).select("case_id", F.col("shape_id").alias("id"), corners().alias("box"))
     d = preds(spark, sf_dir).select("case_id", F.col("pred_id").alias("id"), corners().alias("box"))
-    return S.curated(g, d, ["case_id"]).groupBy("case_id", "source").agg(F.count("*").alias("n"))
+    got = S.curated(g, d, ["case_id"])
+    return got.select("case_id", "source", "gt_id", "dt_id", F.col("box.x0").cast("long").alias("x0"), F.col("box.y1").cast("long").alias("y1"), "category_id")
 
 
 @register("packed_point_mapping")

@@ -87,11 +87,13 @@ def _(spark, sf_dir):
     return R.resolved(i, files).select("case_id", "shape_id", "path")
 
 
-@register("viewer_export", f"{WITH} SELECT case_id, CAST(count(DISTINCT line % 2) AS BIGINT) AS labels, count(*) AS shapes FROM shapes GROUP BY case_id")
+@register("viewer_export", f"{WITH} SELECT case_id, 'l' || (line % 2) AS label, row_number() OVER (PARTITION BY case_id, line % 2 ORDER BY shape_id) - 1 AS place, shape_id, CAST(x0 AS DOUBLE) AS x, 'polygon' AS type, 'OK' AS status FROM shapes")
 def _(spark, sf_dir):
     rows = shapes(spark, sf_dir).select("case_id", F.concat(F.lit("l"), F.col("line") % 2).alias("label"), F.col("shape_id").alias("place"), F.lit("polygon").alias("type"), F.array(F.array("x0", "y0")).alias("points"), F.lit("image.jpg").alias("image"), F.struct(F.col("shape_id").alias("category_id")).alias("attributes"))
-    v = F.try_variant_get(F.try_parse_json("json"), "$.Labels", "array<struct<Label: string, Shapes: array<variant>, Status: string>>")
-    return R.viewer_export(rows).select("case_id", F.size(v).cast("long").alias("labels"), F.aggregate(F.transform(v, lambda x: F.size(x["Shapes"])), F.lit(0), lambda a, b: a + b).cast("long").alias("shapes"))
+    v = F.try_variant_get(F.try_parse_json("json"), "$.Labels", "array<struct<Label: string, Shapes: array<struct<Type: string, points: array<array<double>>, Attributes: struct<category_id: bigint>>>, Status: string>>")
+    labels = R.viewer_export(rows).select("case_id", F.explode(v).alias("l"))
+    each = labels.select("case_id", F.col("l.Label").alias("label"), F.col("l.Status").alias("status"), F.posexplode("l.Shapes").alias("place", "s"))
+    return each.select("case_id", "label", F.col("place").cast("long").alias("place"), F.col("s.Attributes.category_id").alias("shape_id"), F.col("s.points")[0][0].alias("x"), F.col("s.Type").alias("type"), "status")
 
 
 @register("result_documents", f"{WITH} SELECT case_id, count(*) FILTER (WHERE json_vote) AS issues, count(*) FILTER (WHERE is_error AND json_vote) AS tp FROM shapes GROUP BY case_id")

@@ -47,8 +47,17 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     g = _side(shapes(spark, sf_dir), "line")
     m = Y.track_ap(g, _side(preds(spark, sf_dir), "pred_id"), ["video_id"], "video_id long").withColumn("cat", F.lit(1))
-    n = g.select("video_id", "id").distinct().agg(F.lit(1).alias("cat"), F.count("*").alias("n_gt"))
-    return E.average_precision(m, n, ["cat"], ["video_id", "id"])
+    n = Y.track_truths(g.withColumn("cat", F.lit(1)), ["video_id"], ["cat"])
+    return E.average_precision(m, n, ["cat", "area"], ["video_id", "id"])
+
+
+@register("track_summary")
+def _(spark, sf_dir):
+    """All metrics of whole tracks; lines are categories."""
+    g, d = _side(shapes(spark, sf_dir), "line"), _side(preds(spark, sf_dir), "pred_id")
+    cat = (F.col("id") % 3).alias("cat")
+    m = Y.track_ap(g.select("*", cat), d.select("*", cat), ["video_id", "cat"], "video_id long, cat long")
+    return E.coco_summary(m, Y.track_truths(g.select("*", cat), ["video_id", "cat"], ["cat"]), ["cat"], ["video_id", "id"])
 
 
 @register("merged_reports", f"{WITH} SELECT case_id, count(*) FILTER (WHERE line < 3) AS n, count(*) FILTER (WHERE line >= 3) AS m FROM shapes GROUP BY case_id HAVING count(*) FILTER (WHERE line < 3) > 0 OR count(*) FILTER (WHERE line >= 3) > 0")
