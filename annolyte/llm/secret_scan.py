@@ -20,7 +20,7 @@ from .common import field, unwrapped, wrapped
 RUN = r"[A-Za-z0-9][A-Za-z0-9_+/.\-]{14,}[A-Za-z0-9]"
 KEYED = r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[opsru]_|github_pat_|glpat-|sk_live_|rk_live_|npm_)[A-Za-z0-9_\-]{16,})(?![A-Za-z0-9_])"
 #: Words beside a secret, and beside what only looks like one: fixed values.
-TELLING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(orization)?|bearer|credential|client[_-]?secret)"
+TELLING = r"(?i)(pass(word|wd|phrase|code)?|pwd|secret([_-]?key)?|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(orization)?|bearer|credential|client[_-]?secret)"
 HARMLESS = r"(?i)(commit|sha(1|256)?|md5|checksum|digest|hash|revision|uuid|guid|etag|version|build|order|invoice|isbn|card|phone|href|src|https?)"
 #: Between a telling name and its value: part of a match, as its length has no bound, but not of the value.
 SIGN = r"[\"']?\s*+[=:]\s*+[\"']?(?:(?i:bearer|basic)\s++)?"
@@ -90,7 +90,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     letters = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(k))
     swaps = str.maketrans("oeia", "0314")
     # Words that a person made a password of: letters swapped for digits, a number behind, another sign.
-    chosen = lambda: r.choice([lambda w: w.translate(swaps) + str(r.randint(0, 99)), lambda w: w.capitalize() + str(r.randint(1, 9999)), lambda w: w + str(r.randint(1, 9999)) + letters(3).lower(), lambda w: w.capitalize().translate(swaps) + r.choice("!#$%&*") + str(r.randint(0, 9))])(word() + letters(3).lower())
+    chosen = lambda: r.choice([lambda w: w.translate(swaps) + str(r.randint(0, 99)), lambda w: w.capitalize() + str(r.randint(1, 9999)), lambda w: w + str(r.randint(1, 9999)) + letters(3).lower(), lambda w: w.capitalize().translate(swaps) + r.choice("!#$%&*") + str(r.randint(0, 9)), lambda w: w + str(r.randint(0, 9)) + word() + str(r.randint(0, 9)) + word().capitalize()])(word() + letters(3).lower())
     good = [
         lambda: ("AKIA" + upper(16), prose()),
         lambda: ("AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16)), prose()),
@@ -197,13 +197,16 @@ def scan(docs: DataFrame, forest: list[Tree] | None = None, text_col: str = "tex
     # Runs and keys begin with a letter or digit: only matches of an assigned value begin with a sign, which goes to the part before.
     some = some.withColumn("_signs", F.transform("_matches", lambda m: F.regexp_extract(m, f"^{SIGN}", 0)))
     some = some.withColumn("_values", F.zip_with("_matches", "_signs", lambda m, s: F.substring(m, F.length(s) + 1, F.length(m))))
-    parts = F.zip_with(F.split(text, CANDIDATE, -1), F.concat("_signs", F.array(F.lit(""))), lambda p, s: F.concat(p, s))
-    some = some.withColumn("_parts", F.when(F.col("_values").isNotNull(), parts))
+    some = some.withColumn("_between", F.when(F.col("_values").isNotNull(), F.split(text, CANDIDATE, -1)))
+    some = some.withColumn("_parts", F.zip_with("_between", F.concat("_signs", F.array(F.lit(""))), lambda p, s: F.concat(p, s)))
+    # White space of a sign counts as one, so that the words before it are seen however long it is.
+    # A candidate may end where the next one's sign begins: it's part of what stands before.
+    before = lambda i: F.concat(F.right(F.concat(F.coalesce(F.get("_values", i - 1), F.lit("")), F.element_at("_between", i + 1)), F.lit(64)), F.regexp_replace(F.element_at("_signs", i + 1), r"\s+", " "))
     each = F.transform(
         "_values",
         lambda v, i: F.struct(
             v.alias("value"),
-            F.array(*feature_columns(v, F.right(F.element_at("_parts", i + 1), F.lit(64)), F.left(F.element_at("_parts", i + 2), F.lit(64)))).alias("features"),
+            F.array(*feature_columns(v, before(i), F.left(F.element_at("_parts", i + 2), F.lit(64)))).alias("features"),
         ),
     )
     some = some.withColumn("_each", each)
