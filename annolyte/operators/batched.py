@@ -52,4 +52,6 @@ def by_group(rows: DataFrame, by: list[str], order: list, kernel: Callable[[tupl
             yield flush()
 
     ship(rows.sparkSession)
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    # A stated number of partitions: kernels are slow for the bytes they read, by which Spark would put many groups in one task.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
