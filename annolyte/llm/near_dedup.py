@@ -16,7 +16,8 @@ OWN = "_near_duplicate_of_id"
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the least of their component; all columns stay.
 
-    Documents that link with nothing stay, as do rows without an id. Of rows that repeat an id, one stays.
+    Documents that link with nothing stay, as do rows without an id. Of rows that repeat an id, the one
+    of the least text stays (nulls last), and of these the first as JSON.
     Only the ids of rows to drop are joined back, and only to rows that a small filter takes for such.
     """
     found = materialize(jaccard_components(docs, id_col, text_col).withColumnsRenamed({id_col: OWN}), "near")
@@ -31,4 +32,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return kept
     repeated = materialize(repeated, "repeated")
     once = kept.join(repeated, F.col(id_col) == F.col(OWN), "left_anti")
-    return once.unionByName(kept.join(repeated, F.col(id_col) == F.col(OWN), "left_semi").dropDuplicates([id_col]))
+    again = kept.join(repeated, F.col(id_col) == F.col(OWN), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = again.groupBy(F.col(id_col).alias(OWN)).agg(F.min_by(row, F.struct(F.col(text_col).isNull(), F.col(text_col), F.to_json(row))).alias("_first"))
+    return once.unionByName(first.select("_first.*"))

@@ -355,9 +355,6 @@ def _pruned(stands: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
                         at, ids, sizes, maps, held = hub, [], [], [], 0
                     if len(pairs) > 10_000:
                         yield flush()
-                    if ids and ids[-1] == key:  # an id with several texts: its smallest and largest set may differ, so it stays apart
-                        pairs.append((key, hub))
-                        continue
                     held += len(raw)
                     if held > STAND_BYTES:  # as a stand above STAND: unpruned
                         pairs += [(k, hub) for k in [*ids, key] if k != hub]
@@ -409,8 +406,6 @@ def _joined(rows: DataFrame, size: int, by: list[str], rejoin: bool) -> DataFram
                         at, ids, sets, probes, groups = block, [], [], [], []
                         if len(links) > 10_000:
                             yield flush()
-                    if ids and key == ids[-1] and not rejoin:  # repeated rows
-                        continue
                     ids.append(key)
                     sets.append(make(text))
                     probes.append(bool(probe))
@@ -421,18 +416,39 @@ def _joined(rows: DataFrame, size: int, by: list[str], rejoin: bool) -> DataFram
     return mapped(rows.select(*by, "_id", "_text", "_probe", "_group"), run, "u bigint, v bigint")
 
 
+def _one_text_each(base: DataFrame, repeated: DataFrame) -> DataFrame:
+    """base, where each id in repeated has one row, with its least text. Texts of other ids take no shuffle, but for few."""
+    suspect = F.col("_id").isNotNull() & may_be_in(repeated, "_id", F.col("_id"))
+    # Least texts are found within each task first, so a frequent id costs no task much.
+    least = base.where(suspect).groupBy("_id").agg(F.min("_text").alias("_text"))
+    return materialize(base.where(~suspect).unionByName(least), "one-text-each")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """A row per input row: id, n_shingles, component_id (least id reachable by links, itself included).
 
     Texts without words, null ones among them, have no shingles and link with nothing. Rows
-    that repeat an id are one document, with the text of any of them. Null ids link with nothing
-    and get a null component. Ids are integers. An empty table gives no rows.
-    Other columns are not read.
+    that repeat an id are one document, with the least of their texts (nulls last); each of them gets
+    its row. Null ids link with nothing and get a null component. Ids are integers; others raise an
+    error. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(docs.select(F.col(id_col).alias("_id")).dtypes)["_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids of type {kind}: integers are needed, as the least names a component")
     base = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    common = common_tokens(base, docs.count(), size)
+    repeated = materialize(base.where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated")
+    if not repeated.take(1):
+        return _components_of(base, id_col, size, block)
+    found = materialize(_components_of(_one_text_each(base, repeated), id_col, size, block), "of-ids")
+    named = base.where("_id IS NOT NULL").select(F.col("_id").alias(id_col)).join(found, id_col)
+    return named.unionByName(found.where(F.col(id_col).isNull()))
+
+
+def _components_of(base: DataFrame, id_col: str, size: int, block: int) -> DataFrame:
+    """jaccard_components of _id, _text, where no id but null is repeated."""
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = common_tokens(base, base.count(), size)
     ties = materialize(_ties(base, common, size), "ties")
     rows = ties.where(F.col("kind") == DOC)
     copies = ties.where(F.col("kind") == COPY).select(F.col("x").alias("u"), F.col("y").alias("v"))

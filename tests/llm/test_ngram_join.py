@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from annolyte.llm import ngram_join as J
 from annolyte.llm.near_dedup import keep_one_of_each
@@ -78,6 +79,22 @@ def test_repeats_and_nulls(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_ids_with_several_texts(spark, parts):
+    """The least text counts, however rows are dealt; each row gets its row back."""
+    rows = [(3, "z y x w v"), (3, "a b c d e f"), (3, None), (1, "z y x w v"), (2, "a b c d e f"), (None, "z y x w v"), (None, None), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted([tuple(r) for r in jaccard_components(docs).collect()], key=repr)
+    assert got == sorted([(3, 2, 2)] * 3 + [(1, 1, 1), (2, 2, 2), (None, 1, None), (None, 0, None)] + [(4, 0, 4)] * 2, key=repr)
+    kept = sorted([tuple(r) for r in keep_one_of_each(docs.withColumn("m", F.create_map(F.lit("k"), F.lit(1)))).select("doc_id", "text").collect()], key=repr)
+    assert kept == sorted([(1, "z y x w v"), (2, "a b c d e f"), (4, None), (None, "z y x w v"), (None, None)], key=repr)
+
+
+def test_ids_that_are_no_integers(spark):
+    with pytest.raises(ValueError, match="ids of type string"):
+        jaccard_components(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_tree_loses_no_pair():
     r = np.random.default_rng(5)
     base = [np.unique(r.integers(0, 1 << 60, r.integers(1, 200), dtype=np.uint64)) for _ in range(40)]
