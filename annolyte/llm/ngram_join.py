@@ -1,8 +1,8 @@
 """N-gram Jaccard join: all documents linked by like shingle sets, exactly, with signature trees.
 
 1. Tokens on many documents are found in each task's own documents and their counts added up.
-2. Each document lists the prefix of its shingle set, rare tokens first: two like sets must
-   share a prefix token, and have near sizes. Documents of near size classes that share a token
+2. Each document lists half the pairs of neighbours in its sorted shingle set, rare ones first, as its
+   tokens: two like sets must share one, and have near sizes. Documents of near size classes that share a token
    are tied to the least of them, their hub. Where many documents of one task share a token,
    they are tied within the task, which then sends the token once. Equal sets are tied as copies.
 3. A hub and all documents tied to it form a stand. A signature tree over the bitmaps of a stand,
@@ -98,17 +98,29 @@ def common_tokens(docs: DataFrame, n_docs: int, size: int = SIZE) -> np.ndarray:
     return np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The tokens of which any set with a Jaccard similarity of 0.75 or more has one in its own prefix."""
+def heads(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Hashes of neighbours among a set's sorted tokens, of which any other set with a Jaccard similarity of 0.75 or more has one in its own.
+
+    A token that the other set lacks parts two pairs of neighbours, one that it has besides parts one: of n - 1 pairs n // 2 at most are lost, so
+    the first n // 2 + 1 in any order that all sets share have one in common. Unlike texts that share a token by chance, which grow
+    with the square of the documents, seldom share its neighbour. Pairs of common tokens come last. Sets of fewer than 3 tokens are only like their equals.
+    """
     n = len(tokens)
-    p = n - -(-3 * n // 4) + 1
+    if n < 3:
+        return tokens[:0]
+    p = n // 2 + 1
     if not len(common):
-        return tokens[:p]
-    at = np.searchsorted(common, tokens)
-    at[at == len(common)] = 0
-    known = common[at] == tokens
-    rare = tokens[~known]
-    return rare[:p] if len(rare) >= p else np.concatenate((rare, tokens[known][: p - len(rare)]))
+        at = np.arange(p)
+    else:
+        place = np.searchsorted(common, tokens)
+        place[place == len(common)] = 0
+        known = common[place] == tokens
+        both = known[1:] & known[:-1]
+        at = np.flatnonzero(~both)[:p]
+        at = at if len(at) == p else np.concatenate((at, np.flatnonzero(both)[: p - len(at)]))
+    h = tokens[at] * np.uint64(0x9E3779B97F4A7C15) + tokens[at + 1]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
 
 
 def size_class(n: int) -> int:
@@ -186,10 +198,12 @@ def _sent(ids: list, sets: list[np.ndarray], common: np.ndarray, buckets: int, t
     for raw in _maps([doc for _, _, doc in live], [sets[i] for _, i, _ in live]):
         yield anywhere(), MAP, raw
     docs_of = np.array([doc for _, _, doc in live], np.int64)
-    heads = [prefix(sets[i], common) & ~CLASS_BITS | np.uint64(size_class(len(sets[i]))) for _, i, _ in live]
-    tokens = np.concatenate(heads)
-    owner = np.repeat(np.arange(len(live), dtype=np.int32), [len(h) for h in heads])
-    del heads, by, rows
+    keys_of = [heads(sets[i], common) & ~CLASS_BITS | np.uint64(size_class(len(sets[i]))) for _, i, _ in live]
+    tokens = np.concatenate(keys_of)
+    if not len(tokens):
+        return
+    owner = np.repeat(np.arange(len(live), dtype=np.int32), [len(h) for h in keys_of])
+    del keys_of, by, rows
     order = np.argsort(tokens, kind="stable")  # owners ascend within a token
     tokens, owner = tokens[order], owner[order]
     start = np.ones(len(tokens), bool)

@@ -110,6 +110,27 @@ def test_tree_loses_no_pair():
         assert g[i] == g[j]
 
 
+def test_like_sets_share_a_head_and_chance_does_not():
+    """Any two sets at 0.75 share a head, with common tokens too; sets that share single tokens by chance share none, so no bitmap is sent for these."""
+    r = np.random.default_rng(11)
+    pool = np.unique(r.integers(0, 1 << 63, 30, dtype=np.uint64))
+    for n in [*range(1, 60), 200, 601]:
+        for common in (pool[:0], pool):
+            a = np.unique(np.r_[r.integers(0, 1 << 63, n, dtype=np.uint64), r.choice(pool, min(n, 20), replace=False)])[:n] if n > 2 else r.integers(0, 1 << 63, n, dtype=np.uint64)
+            n = len(a)
+            for gone in range(n // 4 + 1):
+                more = int((n - gone) / 0.75 + 1e-9) - n
+                b = np.unique(np.r_[r.permutation(a)[: n - gone], r.integers(0, 1 << 63, max(more, 0), dtype=np.uint64)])
+                if n > 2 and len(b) > 2:
+                    assert len(np.intersect1d(J.heads(a, common), J.heads(b, common))), (n, gone, more)
+    shared = np.sort(r.integers(0, 1 << 63, 60, dtype=np.uint64))
+    sets = [np.unique(np.r_[r.integers(0, 1 << 63, 400, dtype=np.uint64), s]) for s in shared for _ in range(4)]
+    rows = [x for i in range(0, 240, 60) for x in J._sent(list(range(i, i + 60)), [sets[4 * (k % 60) + i // 60] for k in range(60)], pool[:0], 1, 0)]
+    met = J._Bucket()
+    late = [x for _, kind, raw in rows if kind == J.TOKEN for x in met.add(raw)]
+    assert not late and sum(len(x[1]) for x in met.close()) == 0
+
+
 @pytest.mark.parametrize(("seed", "crowd", "held"), [(5, 2, 10), (6, 3, 40), (7, 1, 200)])
 def test_crowded_buckets_in_parts(spark, monkeypatch, seed, crowd, held):
     """Tokens that many tasks send are tied in parts of a bucket: no link goes."""
