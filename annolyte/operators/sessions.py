@@ -39,8 +39,8 @@ def removed_first(*removals: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("removed_at").alias("removed_at"))
 
 
-def assigned(new: DataFrame, loads: DataFrame, by: str = "video_id", order: str = "det_id", worker: str = "worker") -> DataFrame:
-    """New objects, in order, each to the least loaded worker at its turn; of equals the first.
+def assigned(new: DataFrame, loads: DataFrame, by: str = "video_id", order: str = "det_id", worker: str = "worker", turn: str | None = None) -> DataFrame:
+    """New objects, in order, each to the least loaded worker at its turn; of equals the first (I7). turn: a column for the turn, from 1.
 
     loads: by, worker, load. A worker of load n has places n, n + 1, ...; the i-th object takes the i-th place of all workers by
     (place, worker), which is what one choice after another comes to.
@@ -49,7 +49,8 @@ def assigned(new: DataFrame, loads: DataFrame, by: str = "video_id", order: str
     n = new.groupBy(by).agg(F.count("*").cast("int").alias("_n"))
     places = loads.join(n, by).select(by, worker, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"), "load")
     places = places.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(F.col("load") + F.col("_k"), worker))).select(by, "_i", worker)
-    return ranked.join(places, [by, "_i"], "left").drop("_i")
+    out = ranked.join(places, [by, "_i"], "left")
+    return out.withColumnRenamed("_i", turn) if turn else out.drop("_i")
 
 
 def update_plan(dets: DataFrame, known: DataFrame, loads: DataFrame, removed: DataFrame, by: str = "video_id", most: int | None = None) -> DataFrame:
@@ -65,8 +66,8 @@ def update_plan(dets: DataFrame, known: DataFrame, loads: DataFrame, removed: Da
         rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "det_id"))
         new = new.join(held, by, "left").withColumn("_r", rank).where(F.col("_r") <= F.lit(most) - F.coalesce("_held", F.lit(0))).drop("_r", "_held")
     top = known.groupBy(by).agg(F.max("object_id").alias("_top"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy("det_id"))
-    added = assigned(new, loads, by).join(top, by, "left").withColumn("object_id", F.coalesce("_top", F.lit(-1)) + place)
+    # One numbering gives both id and worker: of rows with one det_id, a second could take another order.
+    added = assigned(new, loads, by, turn="_turn").join(top, by, "left").withColumn("object_id", F.coalesce("_top", F.lit(-1)) + F.col("_turn"))
     none = F.lit(None).cast("bigint")
     return (
         added.select(by, F.lit("add").alias("action"), "object_id", "det_id", "worker")

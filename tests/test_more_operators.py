@@ -324,3 +324,23 @@ def test_loaders_and_writers(spark, tmp_path):
         z.writestr("a/1.txt", "p\nq")
         z.writestr("a/2.bin", "no")
     assert [(r.name, r.value) for r in coco.unzipped(spark, str(tmp_path / "z.zip")).collect()] == [("a/1.txt", "p"), ("a/1.txt", "q")]
+
+
+def test_update_plan_numbers_once_where_a_detection_comes_twice(spark):
+    """Id and worker of an addition come from one numbering, also where rows have one det_id."""
+    r = random.Random(4)
+    dets = [(v, r.choice([5, 7, 9]), r.randint(0, 99), True) for v in range(60) for _ in range(8)]
+    loads = [(v, w, 0) for v in range(60) for w in range(3)]
+    known = [(v, 2, 0) for v in range(60)]
+    d = spark.createDataFrame(dets, "video_id long, det_id long, score long, is_new boolean").repartition(7)
+    k = spark.createDataFrame(known, "video_id long, object_id long, worker long")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:  # as with large tables, rows meet by shuffles, after which equal ones come in any order
+        for c, v in zip(kept, ("-1", "false"), strict=True):
+            spark.conf.set(c, v)
+        got = sessions.update_plan(d, k, spark.createDataFrame(loads, "video_id long, worker long, load long"), k.limit(0).drop("worker"), most=9).where("action = 'add'").collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    want = {(v, 3 + i, x[1], i % 3) for v in range(60) for i, x in enumerate(sorted((x for x in dets if x[0] == v), key=lambda x: x[1]))}
+    assert len(got) == 480 and {(x.video_id, x.object_id, x.det_id, x.worker) for x in got} == want
