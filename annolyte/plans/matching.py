@@ -134,7 +134,7 @@ def _corner(p: str, q: str) -> str:
 
 @register("hausdorff_rect", _self(f"round(greatest({_corner('a', 'b')}, {_corner('b', 'a')}), 6) AS d"))
 def _(spark, sf_dir):
-    return _self_pairs(spark, sf_dir).select("case_id", "shape_id", "other_id", F.round(P.hausdorff(P.of_box(F.col("gt_box")), P.of_box(F.col("dt_box"))), 6).alias("d"))
+    return _self_pairs(spark, sf_dir).select("case_id", "shape_id", "other_id", F.round(P.hausdorff_boxes(F.col("gt_box"), F.col("dt_box")), 6).alias("d"))
 
 
 MATCHED = f"{WITH}, m AS (SELECT a.case_id, a.shape_id, b.pred_id, {IOU} AS iou FROM shapes a JOIN preds b ON a.case_id = b.case_id AND 2 * {INTER} >= {AREA_A} + {AREA_B} - {INTER})"

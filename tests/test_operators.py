@@ -138,3 +138,26 @@ def test_nearest_conditioning_frames(spark):
     pick = lambda **kw: {f: sorted(r.cond for r in match.nearest_frames(t, c, ["v"], 3, **kw).collect() if r.frame == f) for f in (0, 10)}
     assert pick() == {10: [8, 9, 20], 0: [1, 5, 8]}
     assert pick(keep_first=True) == {10: [1, 9, 20], 0: [1, 5, 30]}
+
+
+def test_hausdorff_of_boxes_is_that_of_their_outlines(spark):
+    """The closed form equals the one by segments, and its plan has no lambda, which Spark would interpret row by row."""
+    r = np.random.default_rng(2)
+    corners = lambda: [int(v) for k in range(2) for v in [r.integers(0, 30)]]
+    rows = []
+    for _ in range(600):
+        (ax, ay), (bx, by) = corners(), corners()
+        rows.append(((ax, ay, ax + int(r.integers(0, 30)), ay + int(r.integers(0, 30))), (bx, by, bx + int(r.integers(0, 30)), by + int(r.integers(0, 30)))))
+    rows.append(((0, 0, None, 1), (0, 0, 1, 1)))
+    kind = "struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>"
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+    a, b = F.col("a"), F.col("b")
+    made = df.select(P.hausdorff_boxes(a, b).alias("d"), P.hausdorff(P.of_box(a), P.of_box(b)).alias("e"), a["x1"].isNull().alias("none"))
+    got = made.collect()
+    assert sum(x.none for x in got) == 1 and all(x.d is None if x.none else abs(x.d - x.e) < 1e-9 for x in got)
+    from annolyte.plans import registry
+
+    registry.load()
+    path = "/root/testdata/sf0.001"
+    plan = registry.QUERIES["hausdorff_rect"](spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
