@@ -12,11 +12,15 @@ from .validation import _files
 from .virtual import WITH, shapes
 
 
+#: Images in a document: a data set comes in as many documents as it needs, so that none outgrows a task's memory.
+IMAGES_EACH = 64
+
+
 def _coco(spark, sf_dir) -> DataFrame:
-    """A COCO document for each customer segment: four cases of shapes are an image."""
+    """Three COCO data sets in documents of `IMAGES_EACH` images: 32 cases of shapes are an image."""
     s = shapes(spark, sf_dir).withColumn("image", F.floor(F.col("case_id") / 32))
     a = F.struct((F.col("case_id") * 10 + F.col("shape_id")).alias("id"), F.col("image").alias("image_id"), (F.col("line") - 1).alias("category_id"), F.array((F.col("x0") * 1.0), F.col("y0") * 1.0, (F.col("x1") - F.col("x0")) * 1.0, (F.col("y1") - F.col("y0")) * 1.0).alias("bbox"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * 1.0).alias("area"), F.lit(0).alias("iscrowd"))
-    g = s.groupBy((F.col("image") % 3).alias("d")).agg(F.collect_list(a).alias("annotations"), F.collect_set(F.struct(F.col("image").alias("id"), F.concat(F.lit("f"), "image").alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height"))).alias("images"))
+    g = s.groupBy((F.col("image") % 3).alias("d"), F.floor(F.col("image") / (3 * IMAGES_EACH)).alias("_part")).agg(F.collect_list(a).alias("annotations"), F.collect_set(F.struct(F.col("image").alias("id"), F.concat(F.lit("f"), "image").alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height"))).alias("images"))
     cats = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.struct(i.alias("id"), F.concat(F.lit("c"), i).alias("name")))
     doc = F.to_json(F.struct("images", "annotations", cats.alias("categories")))
     return g.select(F.concat(F.lit("d"), "d").alias("dataset"), F.try_parse_json(doc).alias("v"))

@@ -33,8 +33,9 @@ def relation(docs: DataFrame, name: str, kind: str) -> DataFrame:
 
 
 def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, annotations and categories."""
-    return relation(docs, "images", IMAGES), relation(docs, "annotations", ANNOTATIONS), relation(docs, "categories", CATEGORIES)
+    """Images, annotations and categories. A data set may come in several documents, each with some of its images and their
+    annotations; categories that several of them list count once."""
+    return relation(docs, "images", IMAGES), relation(docs, "annotations", ANNOTATIONS), relation(docs, "categories", CATEGORIES).distinct()
 
 
 def by_image(images: DataFrame, annotations: DataFrame) -> DataFrame:

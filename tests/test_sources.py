@@ -115,3 +115,20 @@ def test_thick_lines():
     assert sorted(map(tuple, p.tolist())) == [(0, -1), (0, 1), (10, -1), (10, 1)]
     corner = R.thick_line([(0, 0), (10, 0), (10, 10)], [2, 2, 2])
     assert corner[1].tolist() == pytest.approx([9, 1])
+
+
+def test_a_coco_data_set_in_several_documents(spark, tmp_path):
+    """Categories that several documents of a data set list count once; the queries' documents stay small however many images there are."""
+    doc = lambda i: json.dumps({"images": [{"id": i, "file_name": "f"}], "annotations": [{"id": i, "image_id": i, "category_id": 0, "bbox": [0, 0, 1, 1], "area": 1}], "categories": [{"id": 0, "name": "c"}, {"id": 1, "name": "d"}]})
+    docs = spark.createDataFrame([("x", doc(0)), ("x", doc(5))], "dataset string, j string").select("dataset", F.try_parse_json("j").alias("v"))
+    i, a, c = C.tables(docs)
+    assert sorted(r.id for r in i.collect()) == [0, 5] and sorted(r.id for r in c.collect()) == [0, 1]
+    assert sorted((r.image_id, r.chunk, len(r.queries)) for r in C.datapoints(i, a, c, 1).collect()) == [(0, 0, 1), (0, 1, 1), (5, 0, 1), (5, 1, 1)]
+    assert sorted((r.image_id, r.category_id) for r in C.one_based(i, a, c)[1].collect()) == [(1, 1), (6, 1)]
+    from annolyte.plans import io_queries
+
+    rows = [(32 * k + j, 7 * k + j, k + j, j + 1, 5.0, 1.0, 0.0, 0.0, "R", "F") for k in range(500) for j in range(3)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = io_queries._coco(spark, str(tmp_path)).select("dataset", F.size(F.try_variant_get("v", "$.images", C.IMAGES)).alias("n")).collect()
+    assert {r.dataset for r in made} == {"d0", "d1", "d2"} and max(r.n for r in made) <= 64 and sum(r.n for r in made) >= 500
