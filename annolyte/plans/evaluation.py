@@ -188,7 +188,7 @@ def packed(parts, genetic: bool, size: int = 1008, **kw):
     def kernel(key, c):
         sizes = {p: (x1 - x0, y1 - y0) for p, x0, y0, x1, y1 in zip(c["partition_id"], c["x0"], c["y0"], c["x1"], c["y1"], strict=True)}
         if genetic:
-            bins, fit, *_ = K.Genetic(sizes, size, size, **kw).run()
+            bins, fit, *_ = K.Genetic(sizes, size, size, **kw).run(history=False)
         else:
             bins = K.greedy_pack(sizes, size, size)
             fit = K.fitness(bins)
