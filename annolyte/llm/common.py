@@ -39,6 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; Arrow and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run):
     """A function for mapInArrow that gives freed memory back at its end: workers are reused, and share an executor with the JVM."""
 
@@ -46,9 +53,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return leaner
 
@@ -86,6 +91,8 @@ def may_be_in(ids: DataFrame, name: str, key: Column, bits: int = FILTER_BITS) -
     rows = hit.groupBy(F.floor(F.col("h") / 8).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("h", F.lit(8)).cast("int"))).alias("v")).toArrow()
     table = np.zeros(bits // 8, np.uint8)
     table[rows["at"].to_numpy()] = rows["v"].to_numpy()
+    del rows
+    give_back()  # the driver's limit is for its JVM and Python together
 
     @F.arrow_udf("boolean")
     def held(a: pa.Array, b: pa.Array) -> pa.Array:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mapped, materialize, may_be_in, parts_of
+from .common import give_back, mapped, materialize, may_be_in, parts_of
 from .components import components
 from .shingles import Shingler, set_key
 from .signature_tree import folded, link, one_bitmap, traverse
@@ -95,7 +95,10 @@ def common_tokens(docs: DataFrame, n_docs: int, size: int = SIZE) -> np.ndarray:
 
     found = mapped(docs.select("_id", "_text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     rows = found.where(F.col("n") >= max(LEAST, int(COMMON * n_docs))).select("token").toArrow()
-    return np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
+    tokens = np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
+    del rows
+    give_back()
+    return tokens
 
 
 def heads(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:

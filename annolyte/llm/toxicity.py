@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, parts_of
+from .common import give_back, mapped, parts_of
 
 #: Labelled rows that the model is fitted to at most, those of least hash; rows with a word at least to keep it.
 SAMPLE, MIN_ROWS = 6000, 2
@@ -172,7 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = mapped(chosen.select(F.col(id_col).cast("string"), F.col("_label").cast("bigint"), "_text"), run, "id string, label bigint, words array<string>").toArrow()
     order = sorted(zip(rows["id"].to_pylist(), rows["label"].to_pylist(), range(rows.num_rows), strict=True))
     lists = rows["words"]
-    return fit((set(lists[i].as_py()), int(label > 0)) for _, label, i in order)
+    model = fit((set(lists[i].as_py()), int(label > 0)) for _, label, i in order)
+    del rows, lists, order
+    give_back()  # later steps run beside this process, within one limit
+    return model
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
