@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import materialize
 from .batched import by_group
 from .kernels import assign, box_ious
 
@@ -137,6 +140,41 @@ def judged(key: tuple, dets: list[tuple[int, float]], near: list[list[float]], s
     return out
 
 
+def judged_bits(dets: list[tuple[int, float]], near: list[list[float]], size_d: list[float], size_g: list[float], many: list[bool], areas: tuple) -> list[tuple]:
+    """As `judged`, a row (area, id, rank, score, counts, hits) for all thresholds, each of which has a bit in the last two.
+
+    Matching depends on which ground truth counts and which IoUs reach the threshold, so ranges and thresholds that agree in this are matched once.
+    """
+    values = sorted({v for row in near for v in row})
+    leasts = [min(t, 1 - 1e-10) for t in IOU_THRESHOLDS]
+    levels = [bisect.bisect_left(values, least) for least in leasts]
+    done: dict[tuple, list[tuple[int, int]]] = {}
+
+    def masks(aside: tuple, inside: tuple) -> list[tuple[int, int]]:
+        out = [(0, 0)] * len(dets)
+        for level in dict.fromkeys(levels):
+            least = leasts[levels.index(level)]
+            bits = sum(1 << n for n, x in enumerate(levels) if x == level)
+            taken: set[int] = set()
+            for k in range(len(dets)):
+                best = max(((not aside[j], v, j) for j, v in enumerate(near[k]) if v >= least and (many[j] or j not in taken)), default=None)
+                if best:
+                    taken.add(best[2])
+                if best[0] if best else inside[k]:
+                    out[k] = out[k][0] | bits, out[k][1] | (bits if best else 0)
+        return out
+
+    rows = []
+    for name, low, high in areas:
+        key = tuple(c or not low <= x <= high for c, x in zip(many, size_g, strict=True)), tuple(low <= x <= high for x in size_d)
+        if all(key[0]) and not any(key[1]):
+            continue
+        if key not in done:
+            done[key] = masks(*key)
+        rows += [(name, i, k + 1, -p, *done[key][k]) for k, (i, p) in enumerate(dets) if done[key][k][0]]
+    return rows
+
+
 def coco_matches(rows: DataFrame, by: list[str], keys: str, areas: tuple = AREAS, most: int = 100) -> DataFrame:
     """by, area, thr, id, rank, score, hit: as `ap_matches`, for each area range; detections that count neither way are left out.
 
@@ -155,9 +193,13 @@ def coco_matches(rows: DataFrame, by: list[str], keys: str, areas: tuple = AREAS
         if crowd.any():
             wide = np.minimum(d[:, None, 2:], g[None, :, 2:]) - np.maximum(d[:, None, :2], g[None, :, :2])
             ious = np.where(crowd[None], wide.clip(0).prod(2) / np.maximum(size(d), EPS)[:, None], ious)
-        return judged(key, [(i, p) for p, i, _ in dets], ious.tolist(), size(d).tolist(), size(g).tolist(), crowd.tolist(), areas)
+        return [(*key, *r) for r in judged_bits([(i, p) for p, i, _ in dets], ious.tolist(), size(d).tolist(), size(g).tolist(), crowd.tolist(), areas)]
 
-    return by_group(rows, by, ["side", "id"], kernel, f"{keys}, area string, thr double, id long, rank int, score double, hit boolean")
+    found = by_group(rows, by, ["side", "id"], kernel, f"{keys}, area string, id long, rank int, score double, counts int, hits int")
+    found = materialize(found, "matches")  # it's read several times, and each would run the kernel again
+    thresholds = F.array(*[F.struct(F.lit(1 << n).alias("bit"), F.lit(t).alias("thr")) for n, t in enumerate(IOU_THRESHOLDS)])
+    each = found.withColumn("t", F.explode(thresholds)).where(F.col("counts").bitwiseAND(F.col("t.bit")) > 0)
+    return each.select(*by, "area", F.col("t.thr").alias("thr"), "id", "rank", "score", (F.col("hits").bitwiseAND(F.col("t.bit")) > 0).alias("hit"))
 
 
 def truths_by_area(rows: DataFrame, cat: list[str], areas: tuple = AREAS) -> DataFrame:

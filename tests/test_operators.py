@@ -161,3 +161,16 @@ def test_hausdorff_of_boxes_is_that_of_their_outlines(spark):
     path = "/root/testdata/sf0.001"
     plan = registry.QUERIES["hausdorff_rect"](spark, path)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_matches_in_bits_are_those_of_each_threshold():
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        n, m = int(r.integers(0, 6)), int(r.integers(0, 6))
+        near = [[float(v) for v in r.choice([0.0, 0.3, 0.5, 0.55, 0.7, 0.7, 0.95, 1.0], m)] for _ in range(n)]
+        sizes = lambda k: [float(v) for v in r.choice([100.0, 1024.0, 5000.0, 9216.0, 20000.0, 2e10], k)]
+        args = ([(int(i), -float(r.integers(0, 4))) for i in range(n)], near, sizes(n), sizes(m), [bool(v) for v in r.random(m) < 0.2], E.AREAS)
+        got = [(7, a, t, i, k, p, bool(hits >> b & 1)) for a, i, k, p, counts, hits in E.judged_bits(*args) for b, t in enumerate(E.IOU_THRESHOLDS) if counts >> b & 1]
+        want = E.judged((7,), *args)
+        assert sorted(got) == sorted(want)
+        assert len(E.judged_bits(*args)) <= len(E.AREAS) * n  # a row for all thresholds
